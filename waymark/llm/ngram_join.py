@@ -37,6 +37,8 @@ SLICES = 64
 PAIRWISE = 48
 #: Members of a family that one task inserts or walks.
 BLOCK = 3000
+#: Shingles of the groups that a task joins together.
+TOGETHER = 1_500_000
 #: Pairs of set and trie node that are walked at once.
 FRONT = 2_000_000
 
@@ -55,15 +57,20 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarr
     return (n + m) * (100 - percent) // (100 + percent)
 
 
-def trie_links(sets: list[np.ndarray], queries: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(sets: list[np.ndarray], queries: list[np.ndarray], percent: int = PERCENT, groups: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All (query, set) pairs with 100 * intersection >= percent * union. Arrays hold ranks in the global order, ascending.
 
+    groups: a number for each set and each query; a query meets the sets of its own group only. Each group is a trie of
+    its own, and all are walked together.
+
     The trie is level by level: nodes of a level are the distinct beginnings of that length. The front holds pairs
     (query, node) with the number of the node's items that the query lacks and the place that the query has reached.
     """
     if not sets or not queries:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+    of_set, of_query = groups or (np.zeros(len(sets), np.int64), np.zeros(len(queries), np.int64))
+    # Big-endian bytes sort as the numbers do, with a beginning before what it begins.
+    order = sorted(range(len(sets)), key=lambda i: (of_set[i], sets[i].astype(">i8").tobytes()))
     ranked = [sets[i] for i in order]
     sizes = np.array([len(s) for s in ranked])
     q_sizes = np.array([len(q) for q in queries])
@@ -74,19 +81,24 @@ def trie_links(sets: list[np.ndarray], queries: list[np.ndarray], percent: int =
         k = min(sizes[i - 1], sizes[i])
         apart = np.flatnonzero(ranked[i - 1][:k] != ranked[i][:k])
         shared[i] = apart[0] if len(apart) else k
+    edge = of_set[order]
+    shared[1:][edge[1:] != edge[:-1]] = 0
+    root_from, root_to = np.searchsorted(edge, of_query, "left"), np.searchsorted(edge, of_query, "right")
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(ranked)
     q_flat = np.concatenate(queries)
     q_starts = np.cumsum(q_sizes) - q_sizes
     found_q, found_s = [], []
-    step = max(1, FRONT // len(ranked))
-    for lo in range(0, len(queries), step):
-        hi = min(len(queries), lo + step)
-        q = np.arange(lo, hi)
+    # Queries go in runs whose groups hold so many sets at most, counted once for each query.
+    load = np.cumsum(root_to - root_from)
+    lo = 0
+    while lo < len(queries):
+        hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + FRONT, "right")))
+        q, lo = np.arange(lo, hi), hi
         # A node is named by the first set below it; its last set follows from where the next node of the level begins.
-        node = np.zeros(len(q), np.int64)
-        reached, missed = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-        below_from, below_to = np.zeros(len(q), np.int64), np.full(len(q), len(ranked), np.int64)
+        q = q[root_from[q] < root_to[q]]
+        node, reached, missed = root_from[q], np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        below_from, below_to = root_from[q], root_to[q]
         for d in range(depth + 1):
             if not len(q):
                 break
@@ -279,29 +291,48 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     sets = member_text.select("text", "node").mapInArrow(rebuilt, "node long, items binary")
     copies = reps.groupBy("node").agg(F.sum("copies").alias("copies"))
 
-    def join_family(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        _, i, j = key
-        raw = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+    def join_groups(held: list[tuple]) -> pa.RecordBatch:
+        """held: (group, node, items, copies, block) of whole groups."""
+        numbers = {g: k for k, g in enumerate(dict.fromkeys(x[0] for x in held))}
+        group = np.array([numbers[x[0]] for x in held])
+        node, weight, block = (np.array([x[k] for x in held], np.int64) for k in (1, 3, 4))
+        raw = [np.frombuffer(x[2], np.uint64) for x in held]
         items, at = np.unique(np.concatenate(raw), return_inverse=True)
-        # Ranks in the global order, among this group's items.
+        # Ranks in the global order, among the items that are here.
         place = np.empty(len(items), np.int64)
         place[np.lexsort((items, common.value[(items >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))] = np.arange(len(items))
         ranks = np.split(place[at], np.cumsum([len(x) for x in raw])[:-1])
-        node, weight, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        into, walk = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        q, s = trie_links([ranks[x] for x in into], [ranks[x] for x in walk], percent)
+        first = np.array([x[0][1] for x in held])
+        second = np.array([x[0][2] for x in held])
+        into, walk = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        q, s = trie_links([ranks[x] for x in into], [ranks[x] for x in walk], percent, (group[into], group[walk]))
         q, s = walk[q], into[s]
         apart = q != s
         q, s = q[apart], s[apart]
-        links = np.bincount(q, weight[s], minlength=len(node))
-        if i != j:
-            links += np.bincount(s, weight[q], minlength=len(node))
+        links = np.bincount(q, weight[s], minlength=len(node)) + np.bincount(s, np.where(first[s] != second[s], weight[q], 0), minlength=len(node))
         member, low = forest(node[q], node[s])
         lookup = dict(zip(member.tolist(), low.tolist(), strict=True))
-        return pd.DataFrame({"node": node, "root": [lookup.get(x, x) for x in node.tolist()], "links": links.astype(np.int64)})
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array([lookup.get(x, x) for x in node.tolist()], pa.int64()), pa.array(links.astype(np.int64))], ["node", "root", "links"])
 
-    grouped = sets.join(placed, "node").join(copies, "node").groupBy("root", "i", "j").applyInPandas(join_family, "node long, root long, links long")
+    def join_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for root, i, j, node, items, copies, block in zip(*columns, strict=True):
+                if held and held[-1][0] != (root, i, j) and size > TOGETHER:
+                    yield join_groups(held)
+                    held, size = [], 0
+                if not held or held[-1][0] != (root, i, j) or held[-1][1] != node:
+                    held.append(((root, i, j), node, items, copies, block))
+                    size += len(items) // 8
+        if held:
+            yield join_groups(held)
+
+    whole = sets.join(placed, "node").join(copies, "node").select("root", "i", "j", "node", "items", "copies", "block")
+    # Groups are whole in a part and come one after the other, so that a task holds a few of them at a time.
+    dealt = whole.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    grouped = dealt.mapInArrow(join_part, "node long, root long, links long")
     joined = written(grouped, "links")
     linked = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("node").agg(F.sum("links").alias("links"))
