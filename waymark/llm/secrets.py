@@ -105,8 +105,11 @@ def _listed(spans: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """For each document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans."""
     df = with_spans(docs.select("doc_id", "text"))
-    n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return df.select("doc_id", *n, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return df.select("doc_id", *map(number, range(3)), F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
