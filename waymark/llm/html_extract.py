@@ -274,9 +274,10 @@ def training_pages(n: int, seed: int = 5) -> Iterator[str]:
         mark, out = " keepme", []
         if some(0.85):
             t = pick("h1", "h1", "h2")
-            out.append(f"<{t}>{words(1, 12)}{mark}</{t}>")
+            out.append(f"<{t}>{pick('A', '3', words(1, 2)) if some(0.1) else words(1, 12)}{mark}</{t}>")
+        long = some(0.08)
         for _ in range(int(rng.integers(1, 4) if some(0.4) else rng.integers(1, 22))):
-            kind, body = rng.random(), words(1, 4) if some(0.25) else words(3, 60)
+            kind, body = rng.random(), (words(1, 4) if some(0.25) else words(3, 60)) * (int(rng.integers(5, 60)) if long and some(0.5) else 1)
             if kind < 0.75:
                 out.append(f"<p>{pick('', '', '<b>', '<i>')}{body}{mark}{pick('</p>', '</p>', '</p>', '<br>', '')}")
             elif kind < 0.81:
@@ -304,7 +305,7 @@ def training_pages(n: int, seed: int = 5) -> Iterator[str]:
     for _ in range(n):
         before = [f() for f, p in ((notice, 0.2), (header, 0.5), (menu, 0.75), (advert, 0.5), (side, 0.2), (form, 0.15)) if some(p)]
         after = [f() for f, p in ((comments, 0.3), (side, 0.3), (advert, 0.2), (form, 0.2), (share, 0.2), (notice, 0.1), (footer, 0.85)) if some(p)]
-        body = "".join([*before, article() if some(0.97) else "", *after])
+        body = "".join([*before, article() if some(0.97) else "", *after]) if some(0.93) else article()
         if some(0.2):
             body = f"<div{attribute('wrapper', 'container', 'page')}>{body}</div>"
         yield f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title></head><body>{body}{pick('</body></html>', '')}"
