@@ -233,7 +233,7 @@ def _mm(x: str) -> str:
 
 
 def _nano(x: str) -> str:
-    return f"CAST(floor(({x}) * 1e9 + SHIFT) AS BIGINT)"
+    return f"CAST(floor(({x}) * 1e9 + {SHIFT}) AS BIGINT)"
 
 
 def _segment(lat: str, lon: str, a: tuple[str, str], b: tuple[str, str]) -> str:
