@@ -12,6 +12,7 @@ table gives an empty result; rows that repeat a doc_id are documents of their ow
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,9 @@ BLOCK = 128
 SHARDS = 64
 #: Stretches into which a source is cut so that its running totals need no task of its own.
 STRETCHES = 2048
-#: Most slots that one row unfolds to at once.
-CHUNK = 65_536
+#: Slots that one row unfolds to, and slots of a task.
+CHUNK, TASK = 16_384, 131_072
+PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151)
 
 
 def water_filled(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
@@ -61,18 +63,14 @@ def shard_counts(totals: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(index, salt, n):
-    """Column: place of `index` in a pseudorandom permutation of 0..n-1: a rotation, a stride coprime to n, a rotation.
+def permutation(n: int, *salt: object) -> tuple[int, int, int, int]:
+    """(n, turn, stride, shift) of a pseudorandom permutation of 0..n-1: i goes to ((i + turn) % n * stride + shift) % n.
 
-    Strides come from a fixed list of primes; one that divides n gives way to the next, and n has too few prime
-    factors to divide them all.
+    The stride is a prime that doesn't divide n; n has too few prime factors to rule out all of the list.
     """
-    primes = [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151]
-    h = F.xxhash64(salt, F.lit("stride"))
-    at = F.pmod(h, F.lit(len(primes))).cast("int")
-    order = F.transform(F.sequence(F.lit(0), F.lit(len(primes) - 1)), lambda i: F.element_at(F.array(*map(F.lit, primes)), (F.pmod(i + at, F.lit(len(primes))) + 1).cast("int")))
-    stride = F.element_at(F.filter(order, lambda p: n % p != 0), 1).cast("long")
-    return F.pmod(F.pmod(index + F.pmod(F.xxhash64(salt, F.lit("turn")), n), n) * F.pmod(stride, n) + F.pmod(F.xxhash64(salt, F.lit("shift")), n), n)
+    h = xxhash.xxh64_intdigest(repr(salt))
+    stride = next(p for p in PRIMES[h % len(PRIMES) :] + PRIMES if n % p) if n > 1 else 1
+    return n, (h >> 8) % max(1, n), stride % max(1, n), (h >> 36) % max(1, n)
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
@@ -96,27 +94,32 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tupl
     plan = spark.createDataFrame([(s, n, t, w, -(-n // block)) for (s, n), t, w in zip(totals, targets, want, strict=True)], plan_schema)
     drawn = spark.createDataFrame([(totals[s][0], i, int(starts[i, s]), int(counts[i, s])) for i in range(shards) for s in range(len(totals)) if counts[i, s]], "source string, shard int, first long, n long")
 
+    # Sides that grow with the corpus are never broadcast, however small an estimate of them is.
     # Where each document's words begin in its source: totals of the stretches before, then a sum within the stretch.
     before = by_stretch.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))).select("source", "stretch", F.coalesce("before", F.lit(0)).alias("before"))
     inner = Window.partitionBy("source", "stretch").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.stretch") == F.col("b.stretch"))).select("r.row", "r.source", "r.size", (F.col("b.before") + F.col("r.within")).alias("start"))
+    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("r").join(before.hint("merge").alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.stretch") == F.col("b.stretch"))).select("r.row", "r.source", "r.size", (F.col("b.before") + F.col("r.within")).alias("start"))
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     pieces = pieces.select("row", "source", "block", F.greatest(F.lit(0), F.col("start") - F.col("block") * block).alias("lo"), F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block).alias("hi"))
 
     # Slot k of a source: pass k // n_blocks over it, and the block at the place that the pass's permutation gives.
     slot = drawn.join(F.broadcast(plan), drawn.source.eqNullSafe(plan.source)).select(plan.source, "want", "n_blocks", "source_size", "shard", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("z"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(CHUNK))).alias("k0"))
-    slot = slot.repartition(F.col("source"), F.col("k0")).withColumn("k", F.explode(F.sequence("k0", F.least(F.col("z"), F.col("k0") + CHUNK - 1))))
-    full = F.floor(F.col("want") / F.col("source_size")).cast("long")
+    # Slots are few bytes before they unfold, so their number, not their size, says how many tasks they need.
+    slot = slot.repartition(1 + int(slots.sum()) // TASK, "source", "k0").withColumn("k", F.explode(F.sequence("k0", F.least(F.col("z"), F.col("k0") + CHUNK - 1))))
     slot = slot.withColumn("turn", F.floor(F.col("k") / F.col("n_blocks")).cast("long"))
-    # The last pass permutes full blocks alone; a short block at the source's end comes after them.
-    inside, salt = F.col("k") % F.col("n_blocks"), F.concat_ws("/", F.coalesce("source", F.lit("\0")), F.col("turn"), F.lit(seed))
-    blocks = F.when(F.col("turn") < full, F.col("n_blocks")).otherwise(F.floor(F.col("source_size") / block).cast("long"))
-    slot = slot.withColumn("block", F.when(inside < blocks, permuted(inside, salt, F.greatest(F.lit(1), blocks))).otherwise(inside))
+    full = F.floor(F.col("want") / F.col("source_size")).cast("long")
+    # One permutation for each source and pass. The last pass permutes full blocks alone; a short block comes after them.
+    made = [(s, turn, *permutation(-(-n // block) if turn < p else n // block, seed, s, turn)) for (s, n), p in zip(totals, passes, strict=True) for turn in range(p + 1)]
+    moves = F.broadcast(spark.createDataFrame(made, "m_source string, m_turn long, m long, m_turned long, stride long, shift long"))
+    slot = slot.join(moves, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("turn") == F.col("m_turn")))
+    inside = F.col("k") % F.col("n_blocks")
+    some = F.greatest(F.lit(1), F.col("m"))
+    slot = slot.withColumn("block", F.when(inside < F.col("m"), ((inside + F.col("m_turned")) % some * F.col("stride") + F.col("shift")) % some).otherwise(inside))
     # Whole passes take each word once each; the last, partial pass takes blocks in its order until the words are there.
     partial = F.col("want") - full * F.col("source_size")
     rank = F.col("k") - full * F.col("n_blocks")
     slot = slot.filter(F.col("turn") <= full).withColumn("words", F.when(F.col("turn") < full, F.lit(block)).otherwise(F.least(F.lit(block), partial - rank * block))).filter("words > 0")
     hits = slot.groupBy("source", "block").agg(F.sum(F.when(F.col("turn") < full, 1).otherwise(0)).alias("passes"), F.max(F.when(F.col("turn") == full, F.col("words")).otherwise(0)).alias("last"))
-    taken = pieces.alias("p").join(hits.alias("h"), F.col("p.source").eqNullSafe(F.col("h.source")) & (F.col("p.block") == F.col("h.block"))).groupBy("p.row").agg(F.sum(F.col("h.passes") * (F.col("p.hi") - F.col("p.lo")) + F.greatest(F.lit(0), F.least(F.col("p.hi"), F.col("h.last")) - F.col("p.lo"))).alias("taken"))
-    out = rows.alias("r").join(taken.alias("t"), F.col("r.row") == F.col("t.row"), "left").join(F.broadcast(plan).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left")
+    taken = pieces.alias("p").join(hits.hint("merge").alias("h"), F.col("p.source").eqNullSafe(F.col("h.source")) & (F.col("p.block") == F.col("h.block"))).groupBy("p.row").agg(F.sum(F.col("h.passes") * (F.col("p.hi") - F.col("p.lo")) + F.greatest(F.lit(0), F.least(F.col("p.hi"), F.col("h.last")) - F.col("p.lo"))).alias("taken"))
+    out = rows.alias("r").join(taken.hint("merge").alias("t"), F.col("r.row") == F.col("t.row"), "left").join(F.broadcast(plan).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left")
     return out.select("r.doc_id", "r.size", F.col("r.source"), F.col("s.source_size"), F.col("s.target"), F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
