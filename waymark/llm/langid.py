@@ -32,7 +32,7 @@ ROWS = 1 << 17
 NGRAMS = (1, 2, 3, 4)
 STEPS, BATCH, SPAN = 120, 160, 32
 #: Words whose potentials a worker keeps, and words that are decoded at once.
-KEPT, CELLS = 400_000, 400_000
+KEPT, CELLS = 250_000, 300_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and not 9 <= b <= 13 and b != 32)
@@ -107,8 +107,8 @@ class Crf:
             kept.clear()
             table.clear()
         new = list({w for d in docs for w in d}.difference(kept))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             kept.update(zip(part, range(len(kept), len(kept) + len(part)), strict=True))
             table.append(summed(self.weights, *features(part)))
         if len(table) > 1:
@@ -210,13 +210,13 @@ def predictions(docs: DataFrame, model: Crf, *columns: str) -> DataFrame:
         crf, kept, table = shared.value, {}, []
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            for at in range(0, b.num_rows, 2000):
-                docs_words = [words_of(t) for t in texts[at : at + 2000].to_pylist()]
+            for at in range(0, b.num_rows, 500):
+                docs_words = [words_of(t) for t in texts[at : at + 500].to_pylist()]
                 shares = crf.shares(docs_words, kept, table)
                 best = shares.argmax(axis=1) if crf.labels else np.zeros(len(docs_words), int)
                 names = [crf.labels[i] if d and crf.labels else UNDETERMINED for i, d in zip(best, docs_words, strict=True)]
                 score = [min(1.0, float(s[i])) if n != UNDETERMINED else 0.0 for s, i, n in zip(shares, best, names, strict=True)] if crf.labels else [0.0] * len(names)
-                yield pa.RecordBatch.from_arrays([*(c[at : at + 2000] for c in b.columns[:-1]), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c[at : at + 500] for c in b.columns[:-1]), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)
     return docs.select(*columns, text_bytes().alias("_bytes")).mapInArrow(label, f"{ddl}, lang_pred string, score double")
