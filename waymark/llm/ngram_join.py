@@ -38,9 +38,9 @@ PAIRWISE = 48
 #: Members of a family that one task inserts or walks.
 BLOCK = 3000
 #: Shingles of the groups that a task joins together.
-TOGETHER = 1_500_000
+TOGETHER = 800_000
 #: Pairs of set and trie node that are walked at once.
-FRONT = 2_000_000
+FRONT = 600_000
 
 
 def shingle_set(text: bytes | None, hashes: Hashes, width: int = SHINGLE) -> np.ndarray:
@@ -246,9 +246,9 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = Hashes(), set()
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
+            for lo in range(0, b.num_rows, 400):
                 prefixes, nodes, sizes = [], [], []
-                for t in b.column(0)[lo : lo + 1000]:
+                for t in b.column(0)[lo : lo + 400]:
                     s = shingle_set(t.as_py(), hashes, width)
                     if len(s) and (node := _signature(s)) not in met:
                         met.add(node)
