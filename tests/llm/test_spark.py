@@ -97,6 +97,29 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_blocks(docs, empty):
+    got = [r.asDict(recursive=True) for r in mixing.blocks(docs, block=16, shards=3).collect()]
+    texts = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
+    for shard in range(3):
+        own = [r for r in got if r["shard"] == shard]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        # Sources are spread over a shard's slots, not dealt one after the other.
+        order = [r["source"] for r in sorted(own, key=lambda r: r["slot"])]
+        assert sum(a != b for a, b in zip(order, order[1:], strict=False)) > len(set(order)) - 1
+    for r in got:
+        words = [w for p in r["parts"] for w in texts[p["doc_id"]][p["first"] : p["last"]]]
+        assert words == r["text"].split() and 0 < len(words) <= 16
+        at = [p["at"] for p in r["parts"]]
+        assert at == [sum(p["last"] - p["first"] for p in r["parts"][:i]) for i in range(len(at))]
+    taken = mixing.mix(docs, block=16, shards=3).toPandas()
+    for s, own in taken.groupby("source", dropna=False):
+        assert sum(len(r["text"].split()) for r in got if r["source"] == (s if isinstance(s, str) else None)) == own["taken"].sum()
+    assert mixing.blocks(empty).count() == 0
+    # Another seed deals other slots.
+    other = mixing.blocks(docs, block=16, shards=3, seed=18).select("shard", "slot", "source", "block").collect()
+    assert sorted(map(str, map(tuple, other))) != sorted(str((r["shard"], r["slot"], r["source"], r["block"])) for r in got)
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, vocabulary()).toPandas().sort_values(["sequence_id", "offset"])
     ends = got.groupby("sequence_id").apply(lambda g: (g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]], g["length"].sum()), include_groups=False)

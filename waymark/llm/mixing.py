@@ -3,7 +3,10 @@
 Words are packed into blocks of fixed length, source by source. Output shards draw their source counts from a
 multinomial law that is conditioned on the totals of the sources (so that the totals are met exactly), slots map to
 blocks through pseudorandom index permutations of each source, one for each pass over it, and blocks join the slots
-by index.
+by index. Within a shard one more permutation spreads the sources over the slots.
+
+`parts` is the mix: which words of which document stand where in which slot. `mix` counts them by document, `blocks`
+gives the text of each slot, and `excerpts` the documents with the words that the mix takes of them.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; an empty
 table gives an empty result; rows that repeat a doc_id are documents of their own; other columns are ignored.
@@ -13,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import word_count, written
+from .common import WORD, word_count, written
 
 #: Relative weights of the sources in order of code points, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -73,11 +76,16 @@ def permutation(n: int, *salt: object) -> tuple[int, int, int, int]:
     return n, (h >> 8) % max(1, n), stride % max(1, n), (h >> 36) % max(1, n)
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
-    """For each document: doc_id, size, source, source_size, target (of its source) and taken, the words the mix takes of it."""
+def parts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, plan, parts): rows has the columns `keep` with _row, _size and _source, plan a row for each source.
+
+    parts has _row, shard, slot, source, turn, block, at, first and last: words first to last (exclusive) of the row
+    stand in the slot from its word `at` on; turn is the pass over the source that the slot's block belongs to.
+    """
     spark = docs.sparkSession
     # One pass over the texts; a row key of its own keeps rows that repeat a doc_id apart.
-    rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    kept = written(docs.select(*keep, F.col("source").cast("string").alias("_source"), word_count().alias("_size")).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    rows = kept.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_row").alias("row"))
     rows = rows.withColumn("stretch", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(STRETCHES)).cast("int"))
     by_stretch = rows.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     # One row for each source: the table of sources is small in any corpus, and so is what the driver plans with it.
@@ -92,7 +100,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tupl
     starts = np.cumsum(counts, axis=0) - counts
     plan_schema = "source string, source_size long, target double, want long, n_blocks long"
     plan = spark.createDataFrame([(s, n, t, w, -(-n // block)) for (s, n), t, w in zip(totals, targets, want, strict=True)], plan_schema)
-    drawn = spark.createDataFrame([(totals[s][0], i, int(starts[i, s]), int(counts[i, s])) for i in range(shards) for s in range(len(totals)) if counts[i, s]], "source string, shard int, first long, n long")
+    # In a shard the draws stand source by source until its permutation of n_shard slots spreads them.
+    ahead = np.cumsum(counts, axis=1) - counts
+    spread = [permutation(int(n), seed, "shard", i) for i, n in enumerate(counts.sum(axis=1))]
+    drawn = spark.createDataFrame([(totals[s][0], i, int(starts[i, s]), int(counts[i, s]), int(ahead[i, s] - starts[i, s]), *spread[i]) for i in range(shards) for s in range(len(totals)) if counts[i, s]], "source string, shard int, first long, n long, ahead long, n_shard long, s_turned long, s_stride long, s_shift long")
 
     # Sides that grow with the corpus are never broadcast, however small an estimate of them is.
     # Where each document's words begin in its source: totals of the stretches before, then a sum within the stretch.
@@ -100,10 +111,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tupl
     inner = Window.partitionBy("source", "stretch").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("r").join(before.hint("merge").alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.stretch") == F.col("b.stretch"))).select("r.row", "r.source", "r.size", (F.col("b.before") + F.col("r.within")).alias("start"))
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    pieces = pieces.select("row", "source", "block", F.greatest(F.lit(0), F.col("start") - F.col("block") * block).alias("lo"), F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block).alias("hi"))
+    pieces = pieces.select("row", "source", "block", F.greatest(F.lit(0), F.col("start") - F.col("block") * block).alias("lo"), F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block).alias("hi"), (F.col("block") * block - F.col("start")).alias("skipped"))
 
     # Slot k of a source: pass k // n_blocks over it, and the block at the place that the pass's permutation gives.
-    slot = drawn.join(F.broadcast(plan), drawn.source.eqNullSafe(plan.source)).select(plan.source, "want", "n_blocks", "source_size", "shard", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("z"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(CHUNK))).alias("k0"))
+    slot = drawn.join(F.broadcast(plan), drawn.source.eqNullSafe(plan.source)).select(plan.source, "want", "n_blocks", "source_size", "shard", "ahead", "n_shard", "s_turned", "s_stride", "s_shift", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("z"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(CHUNK))).alias("k0"))
     # Slots are few bytes before they unfold, so their number, not their size, says how many tasks they need.
     slot = slot.repartition(1 + int(slots.sum()) // TASK, "source", "k0").withColumn("k", F.explode(F.sequence("k0", F.least(F.col("z"), F.col("k0") + CHUNK - 1))))
     slot = slot.withColumn("turn", F.floor(F.col("k") / F.col("n_blocks")).cast("long"))
@@ -119,7 +130,54 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tupl
     partial = F.col("want") - full * F.col("source_size")
     rank = F.col("k") - full * F.col("n_blocks")
     slot = slot.filter(F.col("turn") <= full).withColumn("words", F.when(F.col("turn") < full, F.lit(block)).otherwise(F.least(F.lit(block), partial - rank * block))).filter("words > 0")
-    hits = slot.groupBy("source", "block").agg(F.sum(F.when(F.col("turn") < full, 1).otherwise(0)).alias("passes"), F.max(F.when(F.col("turn") == full, F.col("words")).otherwise(0)).alias("last"))
-    taken = pieces.alias("p").join(hits.hint("merge").alias("h"), F.col("p.source").eqNullSafe(F.col("h.source")) & (F.col("p.block") == F.col("h.block"))).groupBy("p.row").agg(F.sum(F.col("h.passes") * (F.col("p.hi") - F.col("p.lo")) + F.greatest(F.lit(0), F.least(F.col("p.hi"), F.col("h.last")) - F.col("p.lo"))).alias("taken"))
-    out = rows.alias("r").join(taken.hint("merge").alias("t"), F.col("r.row") == F.col("t.row"), "left").join(F.broadcast(plan).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left")
-    return out.select("r.doc_id", "r.size", F.col("r.source"), F.col("s.source_size"), F.col("s.target"), F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    slot = slot.withColumn("slot", ((F.col("k") + F.col("ahead") + F.col("s_turned")) % F.col("n_shard") * F.col("s_stride") + F.col("s_shift")) % F.col("n_shard"))
+    met = pieces.alias("p").join(slot.hint("merge").alias("k"), F.col("p.source").eqNullSafe(F.col("k.source")) & (F.col("p.block") == F.col("k.block")) & (F.col("p.lo") < F.col("k.words")))
+    found = met.select(F.col("p.row").alias("_row"), "k.shard", "k.slot", "p.source", "k.turn", "p.block", F.col("p.lo").alias("at"), (F.col("p.skipped") + F.col("p.lo")).alias("first"), (F.col("p.skipped") + F.least("p.hi", "k.words")).alias("last"))
+    return kept, plan, found
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
+    """For each document: doc_id, size, source, source_size, target (of its source) and taken, the words the mix takes of it."""
+    rows, plan, found = parts(docs, block, shards, weights, repeats, seed)
+    taken = found.groupBy("_row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    out = rows.alias("r").join(taken.hint("merge").alias("t"), F.col("r._row") == F.col("t._row"), "left").join(F.broadcast(plan).alias("s"), F.col("r._source").eqNullSafe(F.col("s.source")), "left")
+    return out.select("r.doc_id", F.col("r._size").alias("size"), F.col("r._source").alias("source"), F.col("s.source_size"), F.col("s.target"), F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _cuts(text: Column, ranges: Column) -> Column:
+    """For each (first, last) of `ranges`, sorted, those words of the text with the space between them."""
+    space = WORD.replace("[^", "[").removesuffix("+")
+    words = F.split(F.regexp_replace(text, f"^{space}+", ""), f"(?<={space})(?!{space})", -1)
+    # The outer lambda binds the words, so that a text is split once and not once for each range.
+    cut = lambda w: F.transform(ranges, lambda r: F.regexp_replace(F.array_join(F.slice(w, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")), ""), f"{space}+$", ""))
+    return F.transform(F.array(words), cut)[0]
+
+
+def blocks(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
+    """The slots of the mix: shard, slot, source, turn, block, parts (at, doc_id, first, last) and text.
+
+    Slots of a shard are numbered from 0; a source's last slot may be short. Documents follow each other after a line end.
+    """
+    rows, _, found = parts(docs, block, shards, weights, repeats, seed, ("doc_id", "text"))
+    # All ranges of a text are cut at once.
+    held = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "shard", "slot", "source", "turn", "block", "at"))).alias("ranges"))
+    cut = rows.join(held.hint("merge"), "_row").select("doc_id", F.explode(F.arrays_zip("ranges", _cuts(F.col("text"), F.col("ranges")).alias("text"))).alias("x"))
+    part = F.struct("x.ranges.at", "doc_id", "x.ranges.first", "x.ranges.last", "x.text")
+    slots = cut.groupBy("x.ranges.shard", "x.ranges.slot").agg(*(F.first(f"x.ranges.{c}").alias(c) for c in ("source", "turn", "block")), F.array_sort(F.collect_list(part)).alias("all"))
+    return slots.select("shard", "slot", "source", "turn", "block", F.transform("all", lambda p: p.dropFields("text")).alias("parts"), F.array_join(F.transform("all", lambda p: p["text"]), "\n").alias("text"))
+
+
+def excerpts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
+    """docs as the mix takes them: a whole row for each pass that takes all its words, else one for each stretch of words taken; n_chars to match."""
+    rows, _, found = parts(docs, block, shards, weights, repeats, seed, tuple(docs.columns))
+    first, last = F.collect_list("first"), F.collect_list("last")
+    # Neighbouring blocks of one pass join to a stretch: a stretch begins where none ends.
+    ranges = F.arrays_zip(F.array_sort(F.array_except(first, last)).alias("first"), F.array_sort(F.array_except(last, first)).alias("last"))
+    held = found.groupBy("_row", "turn").agg(ranges.alias("_ranges"))
+    out = rows.join(held.hint("merge"), "_row")
+    whole = F.element_at("_ranges", 1)["last"] - F.element_at("_ranges", 1)["first"] == F.col("_size")
+    out = out.withColumn("_whole", whole).withColumn("_text", F.explode(F.when(F.col("_whole"), F.array("text")).otherwise(_cuts(F.col("text"), F.col("_ranges")))))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
