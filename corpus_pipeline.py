@@ -35,10 +35,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes whole copies of its words, a begun copy counting as one."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("_copies"))
-    mixed = docs.join(taken.filter("_copies > 0"), "doc_id")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The words that the mix takes: a whole document for each pass over it, and the stretches of it that a begun pass takes."""
+    return mixing.excerpts(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

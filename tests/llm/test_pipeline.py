@@ -3,7 +3,8 @@
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from waymark.llm.common import written  # noqa: E402
+from waymark.llm import mixing  # noqa: E402
+from waymark.llm.common import word_count, written  # noqa: E402
 
 
 def test_stages(spark):
@@ -20,3 +21,18 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == ids["source mixing"]
+
+
+def test_mixed_words(spark):
+    """Each source gives the words of its target, though nearly every document is longer than a block."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10 + 97 * (i % 9))) + " \n", "en", ("a", "b", "c")[i % 3], 0) for i in range(90)]
+    docs = spark.createDataFrame([*rows, rows[4], (90, None, "en", "a", None)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = written(corpus_pipeline.source_mixing(spark, docs, ""), "test")
+    assert got.columns == docs.columns
+    target = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    words = {r["source"]: r["sum(n)"] for r in got.withColumn("n", word_count()).groupBy("source").agg({"n": "sum"}).collect()}
+    assert words.keys() == target.keys() and all(abs(words[s] - target[s]) <= 1 for s in target)
+    # What is cut is a stretch of its document, and n_chars says its length.
+    texts = {i: t for i, t, *_ in rows}
+    for r in got.collect():
+        assert r["text"] in texts[r["doc_id"]] and (r["text"] == texts[r["doc_id"]] or r["n_chars"] == len(r["text"]))
