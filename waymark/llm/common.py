@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     to = Path(tempfile.mkdtemp()) / f"{root.name}-{sc.applicationId}.zip"
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
             z.write(p, p.relative_to(root.parent))
     to.write_bytes(buffer.getvalue())
     sc.addPyFile(str(to))

@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-Every line of a text that speaks of a licence is a header; a file whose name says so is a licence file, and counts
-as a whole as well. Both become sparse TF-IDF vectors over the templates' words and take the template of greatest
-cosine. A file without a licence of its own inherits that of the nearest ancestor directory with a licence file: its
+Every line of a text that speaks of a licence is a header, and so is every run of adjacent lines around it, as headers
+are wrapped; comment marks go first. A file whose name says so is a licence file, and counts as a whole as well.
+Headers are compared with notices, whole files with notices and with whole licence texts: all become sparse TF-IDF
+vectors over the templates' words and take the template of greatest cosine. A file without a licence of its own inherits that of the nearest ancestor directory with a licence file: its
 directory's ancestors are joined, path by path, with the directories that have one.
 
 Defined cases: a null text has no licence of its own but may inherit; a null path stands in no directory; of equal
@@ -12,7 +13,9 @@ then of smallest path; equal rows give equal results; other columns are ignored;
 
 from __future__ import annotations
 
+import functools
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +33,12 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "Released under the MIT License"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
@@ -49,10 +58,16 @@ _SPEAKS = re.compile(rb"licen[cs]e|copyright|permission is|redistribution|public
 _FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$"
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 LEAST_COSINE = 0.75
+#: Licences with a whole text (see whole_text), and the least cosine to one of them: all of them are long legal prose.
+WHOLE = ("Apache-2.0", "MIT", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Unlicense")
+LEAST_WHOLE = 0.9
+#: Lines and words of a header at most; a single line may be longer.
+LINES, WORDS = 8, 80
+_MARK = re.compile(rb"^[\s]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|!+|<!--|\(\*|(?:REM|rem|dnl)\b)?[\s]*")
 
 
-def _vectors() -> tuple[dict[str, float], list[dict[str, float]]]:
-    bags = [Counter(_WORD.findall(t.lower())) for _, t in TEMPLATES]
+def _vectors(texts: list[str]) -> tuple[dict[str, float], list[dict[str, float]]]:
+    bags = [Counter(_WORD.findall(t.lower())) for t in texts]
     in_bags = Counter(w for b in bags for w in b)
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in in_bags.items()}
     return idf, [_normal({w: n * idf[w] for w, n in b.items()}) for b in bags]
@@ -63,17 +78,54 @@ def _normal(v: dict[str, float]) -> dict[str, float]:
     return {w: x / norm for w, x in v.items()} if norm else {}
 
 
-IDF, VECTORS = _vectors()
-#: Words outside the templates count as the rarest ones, so that a long line which mentions a licence isn't one.
-_RAREST = max(IDF.values())
+def whole_text(name: str) -> str:
+    """The text of a licence, from this package's files; two are made from the text that they differ little from."""
+    if name == "AGPL-3.0":
+        return re.sub("(?i)gnu general public", "GNU Affero General Public", whole_text("GPL-3.0"))
+    if name == "BSD-2-Clause":
+        return re.sub(r"(?s)\n3\. .*?\n(?=THIS SOFTWARE)", "\n", whole_text("BSD-3-Clause"))
+    return pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
 
 
-def nearest_template(text: str) -> tuple[str | None, float]:
-    """The licence of greatest cosine and that cosine."""
-    v = _normal({w: n * IDF.get(w, _RAREST) for w, n in Counter(_WORD.findall(text.lower())).items()})
-    scores = [round(sum(x * t.get(w, 0.0) for w, x in v.items()), 9) for t in VECTORS]
+IDF, VECTORS = _vectors([t for _, t in TEMPLATES])
+WHOLE_IDF, WHOLE_VECTORS = _vectors([whole_text(n) for n in WHOLE])
+
+
+def _nearest(text: str, names: list[str], idf: dict[str, float], vectors: list[dict[str, float]]) -> tuple[str | None, float]:
+    # Words outside the templates count as the rarest ones, so that a long line which mentions a licence isn't one.
+    rarest = max(idf.values())
+    v = _normal({w: n * idf.get(w, rarest) for w, n in Counter(_WORD.findall(text.lower())).items()})
+    scores = [round(sum(x * t.get(w, 0.0) for w, x in v.items()), 9) for t in vectors]
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    return (TEMPLATES[best][0], scores[best]) if scores[best] > 0 else (None, 0.0)
+    return (names[best], scores[best]) if scores[best] > 0 else (None, 0.0)
+
+
+@functools.lru_cache(20_000)
+def nearest_template(text: str) -> tuple[str | None, float]:
+    """The licence of the notice of greatest cosine and that cosine."""
+    return _nearest(text, [n for n, _ in TEMPLATES], IDF, VECTORS)
+
+
+def nearest_whole(text: str) -> tuple[str | None, float]:
+    """The licence whose whole text has the greatest cosine and that cosine."""
+    return _nearest(text, list(WHOLE), WHOLE_IDF, WHOLE_VECTORS)
+
+
+def headers(text: bytes) -> set[bytes]:
+    """Lines that speak of a licence, and runs of adjacent lines that hold one; an empty line ends a run."""
+    lines = [_MARK.sub(b"", x) for x in text.split(b"\n")]
+    sizes = [len(x.split()) for x in lines]
+    speaks = [bool(_SPEAKS.search(x)) for x in lines]
+    found = {x for x, s in zip(lines, speaks, strict=True) if s}
+    for at in {k for i, s in enumerate(speaks) if s for k in range(max(0, i - LINES + 1), i + 1)}:
+        words, heard = 0, False
+        for end in range(at, min(at + LINES, len(lines))):
+            words, heard = words + sizes[end], heard or speaks[end]
+            if not sizes[end] or words > WORDS:
+                break
+            if heard and end > at:
+                found.add(b" ".join(lines[at : end + 1]))
+    return found
 
 
 def own_license(text: bytes | None, is_file: bool) -> tuple[str | None, float]:
@@ -81,8 +133,12 @@ def own_license(text: bytes | None, is_file: bool) -> tuple[str | None, float]:
     text = text or b""
     if not is_file and not _SPEAKS.search(text):
         return None, 0.0
-    parts = {x for x in text.split(b"\n") if _SPEAKS.search(x)} | ({text} if is_file else set())
-    found = [nearest_template(x.decode("utf-8", "replace")) for x in sorted(parts)]
+    found = [nearest_template(x.decode("utf-8", "replace")) for x in sorted(headers(text) | ({text} if is_file else set()))]
+    if is_file:
+        whole = nearest_whole(text.decode("utf-8", "replace"))
+        # A whole licence quotes notices, of other licences too, so its text says more than they do.
+        if whole[1] >= LEAST_WHOLE:
+            return whole
     best = max(found, key=lambda x: (x[1], x[0] or ""), default=(None, 0.0))
     return best if best[1] >= LEAST_COSINE else (None, best[1])
 
