@@ -39,3 +39,24 @@ def test_training():
             fit(schema, np.array(x), np.array(y), TrainConfig(**c))
     with pytest.raises(InvalidInput):
         model.predict([1.0])
+
+
+def test_training_query_uses_all_pairs(monkeypatch):
+    """The registered query trains with the default parameters: stride 1, 32 trees."""
+    from waymark.config import TrainConfig
+    from waymark.plans import queries
+
+    seen = []
+
+    def train(found, truth, config=None):
+        seen.append(config or TrainConfig())
+        raise InterruptedError
+
+    monkeypatch.setattr(queries, "_found", lambda spark, d: None)
+    monkeypatch.setattr(queries, "_truth", lambda found: None)
+    monkeypatch.setattr(queries.rank.GbdtRanker, "train", train)
+    try:
+        queries.gbdt_train_nodes(None, "")
+    except InterruptedError:
+        pass
+    assert seen == [TrainConfig()] and seen[0].subsample_stride == 1

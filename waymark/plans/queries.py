@@ -211,9 +211,9 @@ def visits_by_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbdt_train_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The text of a small model trained on the labelled clusters, a line a row."""
+    """The text of a model trained on all pairs of the labelled clusters with the default parameters, a line a row."""
     found = _found(spark, d)
-    model = rank.GbdtRanker.train(found, _truth(found), TrainConfig(n_trees=4, max_depth=2, max_bins=8, max_naics=2, subsample_stride=7)).model
+    model = rank.GbdtRanker.train(found, _truth(found), TrainConfig()).model
     return spark.createDataFrame(list(enumerate(model.to_text().splitlines())), "line_no long, line string")
 
 
