@@ -71,19 +71,6 @@ def test_secrets(docs, empty):
     assert masked[16]["text"].count("[SECRET]") == 4 and secrets.redact(docs).columns == docs.columns
 
 
-def test_entropy_windows(spark):
-    import math
-    import random
-    from collections import Counter
-
-    rng = random.Random(8)
-    runs = ["".join(rng.choices("ab12XYcdef", k=rng.randint(20, 45))) for _ in range(40)]
-    cost = lambda w: sum(secrets.C_LOG_C[n] for n in Counter(w).values())
-    got = spark.createDataFrame([(r,) for r in runs], "r string").select("r", secrets.window_cost(F.col("r")).alias("c")).collect()
-    assert all(r["c"] == min(cost(r["r"][i : i + secrets.WINDOW]) for i in range(len(r["r"]) - secrets.WINDOW + 1)) for r in got)
-    assert secrets.C_LOG_C[8] == round(8e6 * math.log2(8))
-
-
 def test_mixing(docs, empty):
     got = mixing.mix(docs).toPandas()
     assert len(got) == len(TEXTS) + 1 and (got["taken"] <= 3 * got["size"]).all()

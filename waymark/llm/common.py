@@ -65,6 +65,19 @@ def erase(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """A column name for each of `names` that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        made = f"_{name}"
+        while made in taken:
+            made = f"_{made}"
+        taken.add(made)
+        out[name] = made
+    return out
+
+
 def text_bytes(name: str = "text"):
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(name).cast("binary")
