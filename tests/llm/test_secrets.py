@@ -117,7 +117,7 @@ def test_entropy_windows(spark):
 @pytest.mark.parametrize("alphabet", [ALNUM, ALNUM + "+/", ALNUM + "_-"])
 @pytest.mark.parametrize("size", [20, 24, 32, 40])
 def test_random_keys_are_found(alphabet, size):
-    """Few random keys stay below the thresholds, and few more have no digit, which the allow list takes for words.
+    """Few random keys stay below the thresholds, and few more look like words or paths (no digit, or few of them at the ends of parts).
 
     (The scan decides as random_looking does; the tests above compare them.)
     """
@@ -126,7 +126,7 @@ def test_random_keys_are_found(alphabet, size):
     low = [m for m in made if max(entropy(m[i : i + 20]) for i in range(size - 19)) < secrets.THRESHOLDS["base64"]]
     digits = [m for m in made if not re.search("[0-9]", m)]
     assert len(low) <= 0.015 * len(made)
-    assert sum(not random_looking(m) for m in made) <= len(low) + len(digits) + 0.005 * len(made)
+    assert sum(not random_looking(m) for m in made) <= len(low) + len(digits) + 0.01 * len(made)
 
 
 def test_columns_and_empty_tables(spark):
