@@ -117,16 +117,15 @@ def test_entropy_windows(spark):
 @pytest.mark.parametrize("alphabet", [ALNUM, ALNUM + "+/", ALNUM + "_-"])
 @pytest.mark.parametrize("size", [20, 24, 32, 40])
 def test_random_keys_are_found(alphabet, size):
-    """Few random keys stay below the thresholds, and few more look like words or paths (no digit, or few of them at the ends of parts).
+    """Few random keys stay below the thresholds; the rest of the misses have no digit or look like paths.
 
     (The scan decides as random_looking does; the tests above compare them.)
     """
     rng = random.Random(size)
     made = ["".join(rng.choices(alphabet, k=size)) for _ in range(2000)]
-    low = [m for m in made if max(entropy(m[i : i + 20]) for i in range(size - 19)) < secrets.THRESHOLDS["base64"]]
-    digits = [m for m in made if not re.search("[0-9]", m)]
-    assert len(low) <= 0.015 * len(made)
-    assert sum(not random_looking(m) for m in made) <= len(low) + len(digits) + 0.01 * len(made)
+    low = sum(max(entropy(m[i : i + 20]) for i in range(size - 19)) < secrets.THRESHOLDS["base64"] for m in made)
+    assert low <= 0.015 * len(made)
+    assert sum(not random_looking(m) for m in made) <= {20: 0.06, 24: 0.035}.get(size, 0.015) * len(made)
 
 
 def test_columns_and_empty_tables(spark):
