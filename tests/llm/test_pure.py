@@ -182,10 +182,15 @@ def test_token_ids_are_those_of_tokenizers():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    texts = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "\n", "x\ty z", "a b c", "é à\nß", "it's a's 's don't\n's", " \n", "12 34\n56 ab12 !!\n!", "<|endoftext|> x", "日本 語\nテキスト", "a\r\nb", "  ", "word " * 50]
+    end = "<|endoftext|>"
+    texts = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "\n", "x\ty z", "a b c", "é à\nß", "it's a's 's don't\n's", " \n", "12 34\n56 ab12 !!\n!", "日本 語\nテキスト", "a\r\nb", "  ", "word " * 50]
+    texts += [end, f"{end} x", f"x {end}", f"a {end} b", f"in{end}side a word", f"{end}{end}", f"a\n{end}\nb c\n{end} ", f"  {end}  {end}x", "<|endoftext|", "<|<|endoftext|>|>", end.upper(), f"a b {end} a b " * 9]
     want = [np.array(made.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert packing.token_ids(texts, P.path("byte_bpe_50k.json")) == want
+    assert np.array([64, 220, 50256, 275], "<u4").tobytes() in want
+    # The same, word by word as they come and again when they have been met.
+    for t, ids in zip(texts, want, strict=True):
+        assert packing.token_ids([t], P.path("byte_bpe_50k.json")) == [ids]
 
 
 def test_pieces():

@@ -107,12 +107,44 @@ def test_mixing_blocks(docs, empty):
     assert sorted(map(str, map(tuple, other))) != sorted(str((r["shard"], r["slot"], r["source"], r["block"])) for r in got)
 
 
-def test_packing(docs, empty):
-    got = packing.pack(docs, vocabulary()).toPandas().sort_values(["sequence_id", "offset"])
+def test_packing(docs, empty, spark):
+    """Pieces, their digests and places against the contract's own call, document by document."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(vocabulary())
+    end = "<|endoftext|>"
+    more = [(100, f"a {end} b"), (101, end * 3), (102, "word " * 2047 + "word"), (103, f"x{end}" * 1500), (100, "another text of one id"), (None, "no id"), (None, None)]
+    table = docs.select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("bucket"), F.lit(3).alias("length")).unionByName(spark.createDataFrame([(*r, 1, 2, 3) for r in more], "doc_id long, text string, row int, bucket int, length int"))
+    want = []
+    for r in table.collect():
+        ids = np.array([*made.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want += [(-1 if r["doc_id"] is None else r["doc_id"], k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = packing.pack(table, vocabulary()).fillna({"doc_id": -1}).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
     ends = got.groupby("sequence_id").apply(lambda g: (g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]], g["length"].sum()), include_groups=False)
     assert all(ok and n <= packing.LENGTH for ok, n in ends)
-    assert got.groupby("doc_id")["length"].sum()[0] == 1 and got[got["doc_id"] == 18]["piece"].max() >= 2
-    assert packing.pack(empty, vocabulary()).count() == 0
+    # As many sequences as best-fit decreasing opens, piece by piece.
+    bins = []
+    for n in sorted((w[3] for w in want), reverse=True):
+        fits = [i for i, left in enumerate(bins) if left >= n]
+        if fits:
+            bins[min(fits, key=bins.__getitem__)] -= n
+        else:
+            bins.append(1024 - n)
+    assert got["sequence_id"].nunique() == len(bins)
+    assert packing.pack(empty, vocabulary()).count() == 0 and packing.sequences(empty, vocabulary()).count() == 0
+
+
+def test_packed_sequences(docs):
+    for r in packing.sequences(docs, vocabulary()).collect():
+        assert len(r["ids"]) == 4 * r["n_tokens"] <= 4096
+        assert [p["offset"] for p in r["parts"]] == [sum(p["length"] for p in r["parts"][:i]) for i in range(len(r["parts"]))]
+        ids = np.frombuffer(bytes(r["ids"]), "<u4")
+        assert all(ids[p["offset"] + p["length"] - 1] == 2 for p in r["parts"] if p["doc_id"] != 18)
 
 
 def test_language_id(docs, empty, spark):

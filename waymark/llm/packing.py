@@ -6,8 +6,12 @@ tightest capacity that still holds a piece is found in logarithmic time, and a r
 that capacity in one move. The plan that results has a bounded number of moves, however many documents there are;
 pieces look up their move by length and rank.
 
-Defined cases: null text is an empty document, which is the closing id alone; documents with the same doc_id are
-packed as documents of their own; an empty table gives an empty result; other columns are ignored.
+`pack` says where each piece of each document stands, `sequences` gives the packed sequences themselves.
+
+Defined cases: null text is an empty document, which is the closing id alone; documents with the same doc_id, or with
+none, are packed as documents of their own; pieces of equal length are taken in order of doc_id, piece and row; very
+long texts are cut into pieces, nothing of them is left out; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from .common import ship, text_bytes, written
 
 LENGTH = 1024
 CLOSING_ID = 2
-#: Into so many buckets each length is cut to number its pieces, so that no length needs a task of its own.
-BUCKETS = 512
+#: Into so many buckets each length is cut at least to number its pieces, so that no length needs a task of its own;
+#: into more of them if a bucket would hold more pieces than this in the mean.
+BUCKETS, BUCKET_PIECES = 512, 1_000_000
 #: Units of text whose ids a worker keeps.
 KEPT = 600_000
 #: White space other than single spaces and single line ends: there a unit would cut a pre-token.
@@ -94,24 +99,30 @@ def plan_bins(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int,
 
 
 def tokenizer(path: str) -> tuple:
-    """The encoder of a byte-level BPE file of the tokenizers library, the ids of units that it has made so far, and the id of a line end.
+    """The encoder of a byte-level BPE file of the tokenizers library, the ids of units that it has made so far, the id
+    of a line end, and the ids of added tokens with the pattern that finds them.
 
     The file's merges are its vocabulary in order of ids, so a rank-based encoder gives the ids that the tokenizers
-    library gives, in a tenth of its time for words that it has not met (tests compare the two). Strings of special
-    tokens in a text are ordinary text.
+    library gives, in a tenth of its time for words that it has not met (tests compare the two). That library looks
+    for added tokens first, and what stands between them is encoded by itself.
     """
     if path not in _MADE:
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in file["added_tokens"]):
+            raise ValueError("added tokens that take in what is around them are not supported")
+        added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        vocabulary = file["model"]["vocab"]
         # Printable bytes stand for themselves in the file, the others for the characters from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if all(c in byte for c in t) and t != "<|endoftext|>"}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if all(c in byte for c in t) and t not in added}
         encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _MADE[path] = (encode, {}, encode("\n")[0])
+        found = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        _MADE[path] = (encode, {}, encode("\n")[0], {t: i.to_bytes(4, "little") for t, i in added.items()}, found)
     return _MADE[path]
 
 
@@ -120,13 +131,22 @@ def unsafe(text: str) -> bool:
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each whole text (unsigned 32-bit, little-endian).
+    """Ids of each whole text (unsigned 32-bit, little-endian), those of its added tokens among them."""
+    _, _, _, added, found = tokenizer(path)
+    held = [found.split(t) if found and any(a in t for a in added) else [t] for t in texts]
+    # Every second part of a split is an added token.
+    plain = iter(_plain_ids([p for h in held for p in h[::2]], path))
+    return [b"".join(added[p] if i % 2 else next(plain) for i, p in enumerate(h)) for h in held]
+
+
+def _plain_ids(texts: list[str], path: str) -> list[bytes]:
+    """Ids of texts without added tokens.
 
     A byte-level pre-tokenizer always cuts before a single space and around a single line end between other
     characters, so a text is the sum of such units; most units have been met before. Texts with other white space go
     to the tokenizer whole.
     """
-    encode, kept, line_end = tokenizer(path)
+    encode, kept, line_end, _, _ = tokenizer(path)
     cut = [None if unsafe(t) else t.replace("\n", " \n").split(" ") for t in texts]
     if len(kept) > KEPT:
         kept.clear()
@@ -145,7 +165,6 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     return [ids(t) if c is None else ids(c[0]) + b"".join(map(kept.__getitem__, c[1:])) for t, c in zip(texts, cut, strict=True)]
 
 
-
 def pieces_of(ids: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids; the first piece is the one that may be shorter."""
     n = len(ids) // 4
@@ -157,22 +176,41 @@ def pieces_of(ids: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int,
         at, piece = at + size, piece + 1
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """For each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def _batches(texts: list[bytes | None], most: int = 500, most_bytes: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts that are encoded together: of so many texts and bytes, but one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at >= most or size + len(t or b"") > most_bytes):
+            yield at, i
+            at, size = i, 0
+        size += len(t or b"")
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _packed(docs: DataFrame, vocabulary: str, length: int, keep_ids: bool) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     closing = CLOSING_ID.to_bytes(4, "little")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc_ids = b.column(0).to_pylist()
-            texts = [(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                rows = [(d, *p) for d, ids in zip(doc_ids[at : at + 500], token_ids(texts[at : at + 500], vocabulary), strict=True) for p in pieces_of(ids + closing, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    made = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    made = written(made.withColumn("row", F.monotonically_increasing_id()), "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+            doc_ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for a, z in _batches(raw):
+                ids = token_ids([(t or b"").decode("utf-8", "replace") for t in raw[a:z]], vocabulary)
+                rows = []
+                for d, own in zip(doc_ids[a:z], ids, strict=True):
+                    own += closing
+                    rows += [(d, *p, own[4 * p[1] : 4 * (p[1] + p[2])])[: len(names)] for p in pieces_of(own, length)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    made = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(cut, schema)
+    made = written(made.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    buckets = max(BUCKETS, -(-made.count() // BUCKET_PIECES))
+    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(buckets)).cast("int"))
     counts = made.groupBy("length", "bucket").count()
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     # At most `length` rows: one for each length of a piece.
@@ -183,4 +221,20 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
     # The plan has a few moves for each length, whatever the number of pieces.
     placed = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("pieces")))
     at = F.col("rank") - F.col("first_rank")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_bin") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + at % F.col("each") * F.col("length")).cast("long").alias("offset"))
+    return placed.select(*names, (F.col("first_bin") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + at % F.col("each") * F.col("length")).cast("long").alias("offset"))
+
+
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+    """For each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return _packed(docs, vocabulary, length, False)
+
+
+def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+    """The packed sequences: sequence_id, n_tokens, ids (unsigned 32-bit, little-endian) and parts (offset, doc_id, piece, length).
+
+    A sequence holds at most `length` ids, so none is large.
+    """
+    placed = _packed(docs, vocabulary, length, True)
+    held = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("all"))
+    whole = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return held.select("sequence_id", (F.length(whole) / 4).cast("long").alias("n_tokens"), whole.alias("ids"), F.transform("all", lambda x: x.dropFields("ids")).alias("parts"))
