@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm import ann, components, html_extract, langid, licenses, mixing, ngram_join, packing, quality, token_counts, trees
+from waymark.llm import ann, components, html_extract, langid, licenses, ngram_join, packing, quality, token_counts, trees
 from waymark.llm.common import Hashes
 
 
@@ -143,14 +143,6 @@ def test_forest():
     assert not len(components.forest(np.zeros(0, np.int64), np.zeros(0, np.int64))[0])
 
 
-def test_targets():
-    assert mixing.water_filled([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
-    assert mixing.water_filled([10, 100, 100], [5, 2, 1]) == [30.0, 120.0, 60.0]
-    assert mixing.water_filled([0, 0], [5, 2]) == [0.0, 0.0] and mixing.water_filled([], []) == []
-    counts = mixing.shard_counts(np.array([50, 0, 7]), 8, 1)
-    assert counts.sum(axis=0).tolist() == [50, 0, 7] and counts.sum(axis=1).max() <= 8
-
-
 def best_fit(counts, capacity):
     bins = []
     for n in sorted(counts, reverse=True):

@@ -1,13 +1,12 @@
 """Operators on small tables: brute force, and nulls, empty texts, ties, repeated rows, empty tables and clashing columns."""
 
-import hashlib
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, html_extract, langid, licenses, mixing, ngram_join, packing, quality, secrets, token_counts
+from waymark.llm import ann, html_extract, langid, licenses, ngram_join, packing, quality, token_counts
 
 pytest.importorskip("public_tokenizers")
 from waymark.llm.queries import vocabulary  # noqa: E402
@@ -56,57 +55,6 @@ def test_ngram_join_in_blocks(docs, monkeypatch):
     assert sorted(map(tuple, ngram_join.classes(docs).collect())) == whole
 
 
-def test_secrets(docs, empty):
-    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
-    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
-    for i, t in enumerate(TEXTS):
-        s = t or ""
-        base = [(m.start(), 0, m.end()) for m in assign.finditer(s) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", s) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", s) if len(m[0]) >= 32]
-        text = ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(base))
-        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    assert (got[16]["n_assign"], got[16]["n_access"], got[16]["n_hex"]) == (1, 1, 1) and "entropy:" in got[16]["spans"]
-    assert secrets.scan(empty).count() == 0
-    masked = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
-    assert masked[17]["text"] == "é" * 9 + " [SECRET]" and masked[17]["n_chars"] == 18 and masked[0]["text"] is None and masked[6]["text"] == BASE
-    assert masked[16]["text"].count("[SECRET]") == 4 and secrets.redact(docs).columns == docs.columns
-
-
-def test_mixing(docs, empty):
-    got = mixing.mix(docs).toPandas()
-    assert len(got) == len(TEXTS) + 1 and (got["taken"] <= 3 * got["size"]).all()
-    sources = sorted(got["source"].dropna().unique())
-    for s in [*sources, None]:
-        own = got[got["source"].isna()] if s is None else got[got["source"] == s]
-        assert (own["source_size"] == own["size"].sum()).all() and abs(own["taken"].sum() - own["target"].iloc[0]) <= 1
-    again = mixing.mix(docs.repartition(3)).toPandas()
-    key = ["doc_id", "size", "taken"]
-    assert sorted(map(tuple, again[key].values)) == sorted(map(tuple, got[key].values))
-    assert mixing.mix(empty).count() == 0
-
-
-def test_mixing_blocks(docs, empty):
-    got = [r.asDict(recursive=True) for r in mixing.blocks(docs, block=16, shards=3).collect()]
-    texts = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
-    for shard in range(3):
-        own = [r for r in got if r["shard"] == shard]
-        assert sorted(r["slot"] for r in own) == list(range(len(own)))
-        # Sources are spread over a shard's slots, not dealt one after the other.
-        order = [r["source"] for r in sorted(own, key=lambda r: r["slot"])]
-        assert sum(a != b for a, b in zip(order, order[1:], strict=False)) > len(set(order)) - 1
-    for r in got:
-        words = [w for p in r["parts"] for w in texts[p["doc_id"]][p["first"] : p["last"]]]
-        assert words == r["text"].split() and 0 < len(words) <= 16
-        at = [p["at"] for p in r["parts"]]
-        assert at == [sum(p["last"] - p["first"] for p in r["parts"][:i]) for i in range(len(at))]
-    taken = mixing.mix(docs, block=16, shards=3).toPandas()
-    for s, own in taken.groupby("source", dropna=False):
-        assert sum(len(r["text"].split()) for r in got if r["source"] == (s if isinstance(s, str) else None)) == own["taken"].sum()
-    assert mixing.blocks(empty).count() == 0
-    # Another seed deals other slots.
-    other = mixing.blocks(docs, block=16, shards=3, seed=18).select("shard", "slot", "source", "block").collect()
-    assert sorted(map(str, map(tuple, other))) != sorted(str((r["shard"], r["slot"], r["source"], r["block"])) for r in got)
-
-
 def test_packing(docs, empty, spark):
     """Pieces, their digests and places against the contract's own call, document by document."""
     import zlib

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import bound, fresh
 
 #: Kinds in order of their listing: a pattern, and the group with the shortest length that it must have.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -51,11 +51,6 @@ CHUNK = 256
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often it is used (also within lambdas)."""
-    return F.transform(F.array(value), use)[0]
-
-
 def running(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
     """out(state, item) of each item (of the SQL type `kind`), the state running from `start` by step(state, item)."""
     none = F.array().cast(f"array<{kind}>")
