@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import langid, mixing, ngram_join, packing, secrets
-from waymark.llm.common import written
+from waymark.llm.common import fresh, written
 from waymark.llm.queries import vocabulary
 
 #: A document whose best language holds a smaller share of its words is rejected, as is one without a language.
@@ -14,11 +14,10 @@ LEAST_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is determined; `und` ones and those without a leading language go."""
-    model = langid.train(docs)
-    found = langid.predictions(docs.withColumn("_text", F.col("text")), model, *docs.columns[: docs.columns.index("text")], "_text", *docs.columns[docs.columns.index("text") + 1 :])
-    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumnRenamed("_text", "text").select(*docs.columns)
+    """Keeps documents whose language is determined; `und` ones (null texts are) and those without a leading language go."""
+    found = fresh(docs, "found")["found"]
+    labelled = langid.predicted(docs, langid.train(docs), found)
+    return labelled.filter((F.col(found)["lang"] != langid.UNDETERMINED) & (F.col(found)["score"] >= LEAST_SHARE)).select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm import ann, components, html_extract, langid, licenses, ngram_join, packing, quality, token_counts, trees
+from waymark.llm import ann, components, html_extract, licenses, ngram_join, packing, quality, token_counts, trees
 from waymark.llm.common import Hashes
 
 
@@ -63,29 +63,6 @@ def test_decoding_has_no_contradictions():
         assert all(kept[made.parent[i]] for i in range(1, len(kept)) if kept[i])
 
 
-def test_forward_backward():
-    rng = np.random.default_rng(2)
-    potentials, start, moves = rng.normal(size=(2, 4, 3)).astype(np.float32), rng.normal(size=3), rng.normal(size=(3, 3))
-    lengths = np.array([4, 2])
-    got = langid.marginals(potentials, lengths, start, moves)
-    for s, n in enumerate(lengths):
-        mass = np.zeros((n, 3))
-        for path in np.ndindex(*(3,) * n):
-            weight = math.exp(start[path[0]] + sum(potentials[s, i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
-            for i, y in enumerate(path):
-                mass[i, y] += weight
-        assert np.allclose(got[s, :n], mass / mass.sum(axis=1, keepdims=True), atol=1e-4)
-
-
-def test_code_switching():
-    rng = random.Random(1)
-    texts = [[w.encode() for w in rng.choices(("the", "and", "of", "thing", "where"), k=60)] for _ in range(20)] + [[w.encode() for w in rng.choices(("der", "und", "nicht", "schein", "über"), k=60)] for _ in range(20)]
-    crf = langid.fit(texts, ["en"] * 20 + ["de"] * 20)
-    shares = crf.shares([[b"the", b"thing", b"and", b"nicht", b"und", b"schein", b"der", "über".encode()], [], [b"where"]], {}, [])
-    assert crf.labels == ("de", "en") and abs(shares[0, 0] - 5 / 8) < 0.15 and shares[2, 1] > 0.8 and not shares[1].any()
-    assert langid.fit([], []).labels == ()
-
-
 def test_token_counts():
     pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b" ab", b"bc", b"cab", b"abca"]
     costs = {p: (round(1e6 * math.log(r + 2)) << 32) + 1 for r, p in enumerate(pieces)}

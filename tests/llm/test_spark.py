@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, html_extract, langid, licenses, ngram_join, packing, quality, token_counts
+from waymark.llm import ann, html_extract, licenses, ngram_join, packing, quality, token_counts
 
 pytest.importorskip("public_tokenizers")
 from waymark.llm.queries import vocabulary  # noqa: E402
@@ -95,19 +95,6 @@ def test_packed_sequences(docs):
         assert all(ids[p["offset"] + p["length"] - 1] == 2 for p in r["parts"] if p["doc_id"] != 18)
 
 
-def test_language_id(docs, empty, spark):
-    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
-    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 3)) and got[6]["lang_pred"] in ("en", "de")
-    assert langid.identify(empty).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-
-
-def test_language_id_held_out(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    right = langid.identify(d, 400).join(d, "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
-    assert right > 0.97
-
-
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(6, 1), (12, 0), (18, 0), (18, 1), (19, None)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.rate(docs, labels).collect()}
