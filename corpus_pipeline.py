@@ -21,11 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones: that with the smallest doc_id (and of equal rows, one)."""
-    classes = ngram_join.classes(docs)
-    roots = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(roots, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one document of each group of linked ones: that with the smallest doc_id. Texts without words stay."""
+    return ngram_join.representatives(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

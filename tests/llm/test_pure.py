@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm import ann, components, html_extract, licenses, ngram_join, packing, quality, token_counts, trees
+from waymark.llm import ann, html_extract, licenses, packing, quality, token_counts, trees
 from waymark.llm.common import Hashes
 
 
@@ -83,43 +83,6 @@ def test_vocabulary_file(tmp_path):
     assert len(costs) == 256 and longest == 1
 
 
-def brute_links(sets):
-    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)}
-
-
-def test_trie_links():
-    rng = random.Random(4)
-    for _ in range(30):
-        sets = set()
-        for _ in range(6):
-            base = set(rng.sample(range(80), rng.randint(1, 40)))
-            for _ in range(4):
-                sets.add(frozenset(base ^ set(rng.sample(range(80), rng.randint(0, 3)))))
-        sets = [s for s in sets if s]
-        groups = np.array([rng.randint(0, 1) for _ in sets])
-        arrays = [np.array(sorted(s), np.int64) for s in sets]
-        q, s = ngram_join.trie_links(arrays, arrays, 85, (groups, groups))
-        want = {(i, j) for i, j in brute_links(sets) if groups[i] == groups[j]}
-        assert sorted(zip(q.tolist(), s.tolist())) == sorted(want)
-
-
-def test_prefixes_meet():
-    rng = random.Random(5)
-    for _ in range(200):
-        a = set(rng.sample(range(300), rng.randint(1, 60)))
-        b = a ^ set(rng.sample(range(300), rng.randint(0, 9)))
-        if b and 100 * len(a & b) >= 85 * len(a | b):
-            cut = [set(sorted(x)[: ngram_join.prefix_length(len(x))]) for x in (a, b)]
-            assert cut[0] & cut[1] and len(a ^ b) <= ngram_join.most_apart(np.array(len(a)), np.array(len(b)))
-
-
-def test_forest():
-    a, b = np.array([5, 3, 9, 9]), np.array([3, 1, 8, 8])
-    member, root = components.forest(a, b)
-    assert dict(zip(member.tolist(), root.tolist())) == {5: 1, 3: 1, 9: 8}
-    assert not len(components.forest(np.zeros(0, np.int64), np.zeros(0, np.int64))[0])
-
-
 def best_fit(counts, capacity):
     bins = []
     for n in sorted(counts, reverse=True):

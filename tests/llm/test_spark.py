@@ -1,12 +1,11 @@
 """Operators on small tables: brute force, and nulls, empty texts, ties, repeated rows, empty tables and clashing columns."""
 
-import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, html_extract, licenses, ngram_join, packing, quality, token_counts
+from waymark.llm import ann, html_extract, licenses, packing, quality, token_counts
 
 pytest.importorskip("public_tokenizers")
 from waymark.llm.queries import vocabulary  # noqa: E402
@@ -31,30 +30,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_ngram_join(docs, empty):
-    word = re.compile(rb"[^\x20\x09-\x0D]+")
-    rows = [(r["doc_id"], word.findall((r["text"] or "").encode().lower())) for r in docs.collect()]
-    sets = [(i, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()) for i, w in rows]
-    low, links = {i: i for i, _ in sets}, {}
-    for _ in sets:
-        for i, a in sets:
-            for j, b in sets:
-                if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                    low[i] = low[j] = min(low[i], low[j])
-    for n, (i, a) in enumerate(sets):
-        links[i] = sum(m != n and bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b) for m, (_, b) in enumerate(sets))
-    got = ngram_join.classes(docs).collect()
-    assert len(got) == len(rows)
-    assert all((r["n_shingles"], r["component_id"], r["n_links"]) == (len(dict(sets)[r["doc_id"]]), low[r["doc_id"]], links[r["doc_id"]]) for r in got)
-    assert ngram_join.classes(empty).count() == 0
-
-
-def test_ngram_join_in_blocks(docs, monkeypatch):
-    whole = sorted(map(tuple, ngram_join.classes(docs).collect()))
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)
-    assert sorted(map(tuple, ngram_join.classes(docs).collect())) == whole
-
-
 def test_packing(docs, empty, spark):
     """Pieces, their digests and places against the contract's own call, document by document."""
     import zlib

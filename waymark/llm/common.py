@@ -84,6 +84,29 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Copies of the small side that a hot key's rows are dealt over.
+SALTS = 64
+
+
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> list[int]:
+    """Keys with more than a thousandth of all rows, of which there are at most a thousand; counted has a row for each key."""
+    return [r[0] for r in counted.filter(F.col(n) > max(total // 1000, SALTS)).select(key).collect()]
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, hot: list[int], how: str = "inner") -> DataFrame:
+    """big joined with small, which has few rows for each key; rows with a hot on[0] are dealt over SALTS tasks by `by`. Nulls meet."""
+    if hot:
+        is_hot = F.coalesce(F.col(on[0]).isin(hot), F.lit(False))
+        big = big.withColumn("salt", F.when(is_hot, F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int"))
+        small = small.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        on = [*on, "salt"]
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"big.{c}").eqNullSafe(F.col(f"small.{c}"))
+    found = big.alias("big").join(small.alias("small"), same, how)
+    return found.select(*(f"big.{c}" for c in big.columns if c != "salt"), *(f"small.{c}" for c in small.columns if c not in on and c != "salt"))
+
+
 def text_bytes(name: str = "text"):
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(name).cast("binary")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import erase, written
+from .common import erase, hot_keys, spread_join, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,18 +27,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node links its larger neighbours (large) or its smaller ones and itself (small) to its smallest neighbour."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node links its larger neighbours to its smallest neighbour (or itself). A node with many of them is dealt over tasks."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hot = hot_keys(both.groupBy("a").count(), "a", "count", 2 * total)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    joined = both.join(least, "a")
-    if large:
-        out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
+    return spread_join(both, least, ["a"], F.xxhash64("b"), hot).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node links its smaller neighbours and itself to the smallest of them.
+
+    Edges point to the smaller node; after a large star a node has as many smaller neighbours as neighbourhoods it lay in.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("low"))
+    out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
     return out.filter("a != b").distinct()
 
 
@@ -49,7 +52,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = digest(now)
     for _ in range(most_rounds):
         # Every larger node pointing at one root that points at nothing is the end; one aggregate shows it.
-        then = written(_stars(_stars(now, True), False), "edges")
+        then = written(_small_star(_large_star(now, mark[0])), "edges")
         seen = digest(then)
         erase(now)
         now, same = then, tuple(seen) == tuple(mark)

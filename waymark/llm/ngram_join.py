@@ -6,11 +6,17 @@ whole corpus, then the hash; any such order gives the same links, a good one kee
 Two linked sets share a shingle in their prefixes, so representatives that share one there fall in one family.
 A family is joined whole: its ordered sets become a trie, each set walks it with all partial overlaps shared along
 common beginnings, and a subtree goes as soon as the sets' remaining lengths can't make up for what has been missed.
-Large families are cut into blocks, and each pair of blocks is a task of its own.
+Families with many shingles are cut into bands of sizes (sets of different bands are only linked with the next band)
+and these into blocks; each pair of blocks that may hold links is a task of its own.
+
+Keys that hold many rows (a node with many neighbours, a set with many copies, a shingle in many prefixes, a large
+family) are dealt over many tasks or combined before they are shuffled.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; equal rows, and different
-rows with one doc_id, are documents of their own; an empty table gives an empty result; other columns are ignored.
-Two different sets are taken for one only if their 64-bit hashes and sizes agree.
+rows with one doc_id, are documents of their own; a null doc_id comes after all others, and a class of such rows alone
+has a null component_id; an empty table gives an empty result; very long texts are taken whole; other columns are
+ignored, whatever their names (representatives keeps them). Two different sets are taken for one only if their 64-bit
+hashes agree.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Hashes, ship, text_bytes, window_hashes, written
+from .common import Hashes, fresh, hot_keys, ship, spread_join, text_bytes, window_hashes, written
 from .components import components, forest
 
 SHINGLE = 4
@@ -35,8 +42,12 @@ COUNT_BITS = 21
 SLICES = 64
 #: Groups of a shingle up to this size are compared by length and position pair by pair, larger ones chained by length.
 PAIRWISE = 48
-#: Members of a family that one task inserts or walks.
-BLOCK = 3000
+#: Postings that a task sorts at once, and rows of a shingle among them from which on it combines them.
+POSTED, LOCAL = 500_000, 4 * PAIRWISE
+#: Shingles of a block of a family: a task inserts one block and walks one.
+BLOCK = 400_000
+#: Numbers of a band's blocks begin at a multiple of this.
+BAND = 1 << 32
 #: Shingles of the groups that a task joins together.
 TOGETHER = 800_000
 #: Pairs of set and trie node that are walked at once.
@@ -186,40 +197,112 @@ def prefix_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: n
     return np.concatenate([np.zeros(0, np.int64), *out_a, node[i]]), np.concatenate([np.zeros(0, np.int64), *out_b, node[i + 1]])
 
 
+def chained(node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between neighbours in order of size whose sizes allow a link."""
+    i = np.flatnonzero(100 * size[:-1] >= percent * size[1:])
+    return node[i], node[i + 1]
+
+
+def thinned(size: np.ndarray, percent: int) -> np.ndarray:
+    """Places in ascending sizes such that any size which chains with one of them also chains with one that is kept."""
+    kept, i = [], 0
+    while i < len(size):
+        kept.append(i)
+        # The furthest that still chains with it, or the first of what comes after a gap.
+        ahead = int(np.searchsorted(percent * size, 100 * size[i], "right")) - 1
+        i = ahead if ahead > i else i + 1
+    return np.array(kept, np.int64)
+
+
+def combined(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the postings that have to meet those of other tasks, and (token, a, b) edges of shingles that many sets here have in their prefixes."""
+    order = np.lexsort((size, token))
+    cut = np.flatnonzero(np.r_[True, token[order][1:] != token[order][:-1]]) if len(token) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[cut, len(token)])
+    stay, out = [order[np.repeat(n <= LOCAL, n)]], [np.zeros((3, 0), np.int64)]
+    for at, k in zip(cut[n > LOCAL].tolist(), n[n > LOCAL].tolist(), strict=True):
+        own = order[at : at + k]
+        a, b = chained(node[own], size[own], percent)
+        out.append(np.stack([np.full(len(a), token[own[0]]), a, b]))
+        # As many remain that the shingle is chained, not compared pair by pair, where it is met again.
+        some = np.union1d(thinned(size[own], percent), np.arange(PAIRWISE + 1))
+        stay.append(own[some])
+    return np.concatenate(stay), tuple(np.concatenate(out, axis=1))
+
+
+class Chunks:
+    """Edges of postings that come in order of shingle and size, a bounded number of rows at a time."""
+
+    def __init__(self, percent: int, most: int = POSTED) -> None:
+        self.percent, self.most = percent, most
+        self.held = np.zeros((4, 0), np.int64)
+        self.long: int | None = None  # a shingle of which the last row is held, the others being chained already
+
+    def add(self, rows: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """rows: token, node, size and place. (member, root) pairs of what is now known."""
+        self.held = np.concatenate([self.held, rows], axis=1)
+        if self.held.shape[1] < self.most and not last:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = []
+        token = self.held[0]
+        if self.long is not None and len(token):
+            k = int(np.searchsorted(token, self.long, "right"))
+            found.append(chained(self.held[1, :k], self.held[2, :k], self.percent))
+            whole = k < len(token) or last
+            self.held = self.held[:, k if whole else k - 1 :]
+            self.long = None if whole else self.long
+        if self.long is None and self.held.shape[1]:
+            token = self.held[0]
+            begin = len(token) if last else int(np.searchsorted(token, token[-1], "left"))
+            if begin or last:
+                found.append(prefix_links(*self.held[:, :begin], self.percent))
+                self.held = self.held[:, begin:]
+            if self.held.shape[1] >= self.most:
+                self.long = int(self.held[0, 0])
+                found.append(chained(self.held[1], self.held[2], self.percent))
+                self.held = self.held[:, -1:]
+        return forest(*(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2)))
+
+
 def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """For each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links."""
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """For each document: doc_id, key (a hash of the text), n_shingles, class (null for an empty set), component_id and n_links."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), text_bytes().alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signatures of all sets, and this part's counts of shingles in buckets, in slices."""
         hashes, counts = Hashes(), np.zeros(1 << COUNT_BITS, np.int64)
-        names = ["doc_id", "n", "node", "slice", "counts"]
+        names = ["doc_id", "key", "n", "node", "slice", "counts"]
+
+        def count(sets: list[np.ndarray]) -> None:
+            nonlocal counts
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+
         for b in batches:
             n, node, held, held_n = [], [], [], 0
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), hashes, width)
                 n.append(len(s))
                 node.append(_signature(s))
                 held.append(s)
                 held_n += len(s)
                 if held_n > 1_000_000:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+                    count(held)
                     held, held_n = [], 0
             if held_n:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
+                count(held)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
             kind = np.uint16 if counts.max() < 65536 else np.int64
             parts = [x.astype(kind).tobytes() for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    gathered = written(texts.mapInArrow(gather, "doc_id long, n long, node long, slice int, counts binary"), "ngram-sets")
+    gathered = written(texts.mapInArrow(gather, "doc_id long, key long, n long, node long, slice int, counts binary"), "ngram-sets")
     each = (1 << COUNT_BITS) // SLICES
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,59 +320,96 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     # 2**COUNT_BITS bytes, whatever the size of the corpus.
     common = spark.sparkContext.broadcast(table.ravel())
 
-    rows = gathered.filter("slice is null").select("doc_id", "n", "node")
-    reps = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    rows = gathered.filter("slice is null").select("doc_id", "key", "n", "node")
+    # Of the rows with a set, the one of the smallest doc_id stands for it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    reps = written(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), first.alias("first"), F.count("*").alias("copies")).select("node", "n", "first.none", "first.doc_id", "first.key", "copies"), "ngram-reps")
+    hot = hot_keys(reps, "node", "copies", rows.count())
 
     def ordered(s: np.ndarray) -> np.ndarray:
         return s[np.lexsort((s, common.value[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))]
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, met = Hashes(), set()
+        """Shingles of the prefixes; a row with `other` is an edge."""
+        hashes, met, held, held_n = Hashes(), set(), [], 0
+        names = ["token", "node", "size", "place", "other"]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            token, node, size, place = np.concatenate(held, axis=1)
+            stay, (by, a, b) = combined(token, node, size, place, percent)
+            for at in range(0, len(stay), 100_000):
+                some = stay[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(node[some]), pa.array(size[some].astype(np.int32)), pa.array(place[some].astype(np.int32)), pa.nulls(len(some), pa.int64())], names)
+            if len(a):
+                low, high = forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(low), pa.array(np.zeros(len(low), np.int32)), pa.array(np.zeros(len(low), np.int32)), pa.array(high)], names)
+
         for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                prefixes, nodes, sizes = [], [], []
-                for t in b.column(0)[lo : lo + 400]:
-                    s = shingle_set(t.as_py(), hashes, width)
-                    if len(s) and (node := _signature(s)) not in met:
-                        met.add(node)
-                        prefixes.append(ordered(s)[: prefix_length(len(s), percent)])
-                        nodes.append(node)
-                        sizes.append(len(s))
-                if not prefixes:
-                    continue
-                k = [len(p) for p in prefixes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(np.repeat(nodes, k), pa.int64()), pa.array(np.repeat(sizes, k), pa.int32()), pa.array(np.concatenate([np.arange(x) for x in k]), pa.int32())], ["token", "node", "size", "place"])
+            for t in b.column(0):
+                s = shingle_set(t.as_py(), hashes, width)
+                if len(s) and (node := _signature(s)) not in met:
+                    met.add(node)
+                    p = ordered(s)[: prefix_length(len(s), percent)].view(np.int64)
+                    held.append(np.stack([p, np.full(len(p), node), np.full(len(p), len(s)), np.arange(len(p))]))
+                    held_n += len(p)
+                    if held_n >= POSTED:
+                        yield from out()
+                        held, held_n = [], 0
+        if held:
+            yield from out()
 
     # Each part of the table posts a set once; the same posting from several parts makes no edge of its own.
-    posted = texts.select("text").mapInArrow(postings, "token long, node long, size int, place int").repartition("token")
+    posted = texts.select("text").mapInArrow(postings, "token long, node long, size int, place int, other long").repartition("token").sortWithinPartitions("token", "size")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        a, b = prefix_links(*(t.column(i).to_numpy().astype(np.int64) for i in range(4)), percent)
-        member, root = forest(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(root)], ["a", "b"])
-
-    families = written(components(posted.mapInArrow(edges, "a long, b long")), "families")
-    sized = families.groupBy("root").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = families.join(sized, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Each pair of blocks of a family is a group; with one block it is the family.
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    member_text = texts.join(reps.join(families, "node", "left_semi").select(F.col("first").alias("doc_id"), "node"), "doc_id")
+        chunks = Chunks(percent)
+        batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for b in batches:
+            other = b.column(4)
+            is_edge = other.is_valid().to_numpy(zero_copy_only=False)
+            if is_edge.any():
+                yield batch(b.column(1).filter(other.is_valid()), other.drop_null())
+            yield batch(*chunks.add(np.stack([b.column(i).to_numpy().astype(np.int64)[~is_edge] for i in range(4)])))
+        yield batch(*chunks.add(np.zeros((4, 0), np.int64), True))
+
+    families = components(posted.mapInArrow(edges, "a long, b long"))
+    # Sizes of linked sets are within one band or neighbouring ones (which are a little wider, for rounding's sake).
+    band = F.floor(F.log("n") / F.lit(1.0001 * float(np.log(100 / percent)))).cast("long")
+    members = written(families.join(reps, "node").withColumn("band", band), "families")
+    bands = members.groupBy("root", "band").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    blocks = F.ceil(F.col("shingles") / BLOCK).cast("long")
+    sized = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct(F.col("band"), blocks))).alias("blocks"), F.sum("shingles").alias("shingles"), F.sum("sets").alias("sets"))
+    large = hot_keys(sized, "root", "sets", members.count())
+    placed = spread_join(members.select("root", "node", "band", "copies"), sized.drop("sets"), ["root"], F.xxhash64("node"), large)
+    of = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0).cast("long"))
+    numbers = lambda b: F.when(of(b) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(of(b), F.lit(1)) - 1), lambda k: b * BAND + k)).otherwise(F.array().cast("array<long>"))
+    cut = F.col("shingles") > BLOCK
+    placed = placed.withColumn("block", F.when(cut, F.col("band") * BAND + F.pmod(F.xxhash64("node"), of(F.col("band")))).otherwise(0))
+    # Each pair of blocks of a band or of neighbouring bands is a group; a small family is one group.
+    pair = lambda x, y: F.struct(x.alias("i"), y.alias("j"))
+    own = F.transform(numbers(F.col("band")), lambda k: pair(F.least("block", k), F.greatest("block", k)))
+    above = F.transform(numbers(F.col("band") + 1), lambda k: pair(F.col("block"), k))
+    below = F.transform(numbers(F.col("band") - 1), lambda k: pair(k, F.col("block")))
+    groups = F.when(cut, F.concat(own, above, below)).otherwise(F.array(pair(F.lit(0).cast("long"), F.lit(0).cast("long"))))
+    placed = placed.withColumn("group", F.explode(groups)).select("node", "root", "block", "copies", "group.i", "group.j")
+    # Texts of members: one row for each set, or several equal ones.
+    wanted = members.select("key", "doc_id", "node")
+    hot_texts = [r[0] for r in wanted.filter(F.col("node").isin(hot)).select("key").collect()] if hot else []
+    member_text = spread_join(texts, wanted, ["key", "doc_id"], F.monotonically_increasing_id(), hot_texts)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of members, once for each node (a doc_id may stand for several texts)."""
-        hashes = Hashes()
+        """Sets of members, once for each node."""
+        hashes, met = Hashes(), set()
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                out = [(node, ordered(s).tobytes()) for t, node in zip(b.column(0)[lo : lo + 500].to_pylist(), b.column(1)[lo : lo + 500].to_pylist(), strict=True) if _signature(s := shingle_set(t, hashes, width)) == node]
+                out = []
+                for t, node in zip(b.column(0)[lo : lo + 500], b.column(1)[lo : lo + 500].to_pylist(), strict=True):
+                    if node not in met and _signature(s := shingle_set(t.as_py(), hashes, width)) == node:
+                        met.add(node)
+                        out.append((node, ordered(s).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "items"])
 
     sets = member_text.select("text", "node").mapInArrow(rebuilt, "node long, items binary")
-    copies = reps.groupBy("node").agg(F.sum("copies").alias("copies"))
 
     def join_groups(held: list[tuple]) -> pa.RecordBatch:
         """held: (group, node, items, copies, block) of whole groups."""
@@ -329,16 +449,45 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
         if held:
             yield join_groups(held)
 
-    whole = sets.join(placed, "node").join(copies, "node").select("root", "i", "j", "node", "items", "copies", "block")
+    whole = sets.join(placed, "node").select("root", "i", "j", "node", "items", "copies", "block")
     # Groups are whole in a part and come one after the other, so that a task holds a few of them at a time.
     dealt = whole.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    grouped = dealt.mapInArrow(join_part, "node long, root long, links long")
-    joined = written(grouped, "links")
+    joined = written(dealt.mapInArrow(join_part, "node long, root long, links long"), "links")
     linked = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = reps.groupBy("node").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
-    roots = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = nodes.join(roots, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    nodes = reps.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
+    nodes = written(nodes.select("node", "root", "none", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-classes")
+    roots = nodes.groupBy("root").agg(F.min(F.struct("none", "doc_id"))["doc_id"].alias("component_id"), F.count("*").alias("sets"))
+    large = hot_keys(roots, "root", "sets", nodes.count())
+    found = spread_join(nodes.select("root", "node", "n_links"), roots.drop("sets"), ["root"], F.xxhash64("node"), large)
+    found = found.select("node", F.col("root").alias("class"), "component_id", "n_links")
     # A set of thousands of copies is one row of `found`: the documents' side is the one that may be skewed.
-    out = rows.alias("r").join(found.alias("f"), (F.col("r.node") == F.col("f.node")) & (F.col("r.n") > 0), "left")
-    return out.select("r.doc_id", F.col("r.n").alias("n_shingles"), F.coalesce("f.component_id", "r.doc_id").alias("component_id"), F.coalesce("f.n_links", F.lit(0)).cast("long").alias("n_links"))
+    held = rows.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    out = spread_join(held, found, ["node"], F.xxhash64("doc_id", "key") if not hot else F.monotonically_increasing_id(), hot, "left")
+    own_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "class", own_id.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """For each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links."""
+    return _classes(docs, width, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id, of several such rows one with the smallest text hash.
+
+    Texts without words are linked with nothing, and stay. Rows of the same doc_id and text stay once, the one whose
+    other columns are the smallest.
+    """
+    found = _classes(docs, width, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    linked = found.filter("class is not null").groupBy("class").agg(F.min(row).alias("row")).select("row.doc_id", "row.key")
+    chosen = linked.unionByName(found.filter("class is null").select("doc_id", "key").distinct()).distinct()
+    made = fresh(docs, "doc_id", "key")
+    keyed = docs.select(F.col("doc_id").cast("long").alias(made["doc_id"]), F.xxhash64("text").alias(made["key"]), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    # Equal rows are combined before the shuffle, so that many of them make no large group.
+    simple = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    one = F.min_by("row", F.struct(*simple)) if simple else F.first("row")
+    single = keyed.groupBy(made["doc_id"], made["key"]).agg(one.alias("row"))
+    kept = single.join(chosen, single[made["doc_id"]].eqNullSafe(chosen["doc_id"]) & (single[made["key"]] == chosen["key"]), "left_semi")
+    return kept.select("row.*")
