@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from waymark.llm import langid
+from waymark.llm.common import pieces_of
 
 EN, DE = ("the", "and", "of", "thing", "where"), ("der", "und", "nicht", "schein", "über")
 
@@ -47,7 +48,7 @@ def test_pieces_and_long_texts():
     text = " ".join(rng.choice(EN if i % 40 < 25 else DE) for i in range(3000)) + " 12 ...\n\n" + "x" * 500 + "\t é"
     raw = text.encode()
     for size in (1, 7, 64, 10_000, 10**6):
-        cut = list(langid.pieces_of(raw, size))
+        cut = list(pieces_of(raw, size))
         assert b"".join(cut) == raw and [w for p in cut for w in p.split()] == raw.split()
     crf = small_field()
     want = crf.shares([langid.words_of(raw)], {}, [])[0]

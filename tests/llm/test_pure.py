@@ -8,13 +8,34 @@ import numpy as np
 import pytest
 
 from waymark.llm import ann, html_extract, licenses, packing, quality, token_counts, trees
-from waymark.llm.common import Hashes
+from waymark.llm.common import LONG_WORD, PIECE, distinct, window_hashes, word_hashes
 
 
 def test_words_are_split_as_in_the_contract():
     assert "a b c\x1cd\te\x0bf".encode().split() == ["a b".encode(), b"c\x1cd", b"e", b"f"]
 
 
+def test_word_hashes():
+    """Equal for the same word wherever it stands, and apart for others."""
+    rng = random.Random(1)
+    words = [bytes(rng.choices(b"ab\x1c\xc3\xa9", k=rng.randint(1, 9))) for _ in range(4000)] + [b"x" * LONG_WORD, b"x" * (LONG_WORD + 1), b"y" * (PIECE + 5), b"x" * 200]
+    rng.shuffle(words)
+    space = (b" ", b"\t", b"\n ", b"\x0b", b"\x0c", b"\r\n")
+    text = b"".join(rng.choice(space) + w for w in words) + rng.choice((b"", b" "))
+    h = word_hashes(text)
+    assert text.split() == words and len(h) == len(words)
+    alone = {w: int(word_hashes(w)[0]) for w in words}
+    assert h.tolist() == [alone[w] for w in words] and len(set(alone.values())) == len(alone)
+    assert [len(word_hashes(t)) for t in (b"", b" ", b"a", b" a", b"a ", b" a b ")] == [0, 0, 1, 1, 1, 2]
+    seen = {}
+    for i in range(len(words) - 3):
+        seen.setdefault(tuple(words[i : i + 4]), set()).add(int(window_hashes(h, 4)[i]))
+    assert all(len(v) == 1 for v in seen.values()) and len({x for v in seen.values() for x in v}) == len(seen)
+    for n in range(5):
+        assert len(window_hashes(h[:n], 4)) == min(n, 1) if n <= 4 else True
+    assert window_hashes(h[:2], 4) != window_hashes(h[:3], 4) and distinct(np.array([3, 1, 3], np.uint64)).tolist() == [1, 3] and not len(distinct(h[:0]))
+
+
 def brute_statistics(s):
     import re
 
@@ -27,8 +48,8 @@ def brute_statistics(s):
 
 @pytest.mark.parametrize("s", ["", " \n\t", "a b c", "é# ü| <x>\né# ü| <x>\n \n \n", "a b c d e f g h i " * 3, "x " * 30, "a\x0bb\x0cc d e\x85f"])
 def test_statistics(s):
-    assert quality.statistics(s.encode(), Hashes())[0] == brute_statistics(s)
-    assert quality.statistics(None, Hashes())[0] == [0] * 5
+    assert quality.statistics(s.encode())[0] == brute_statistics(s)
+    assert quality.statistics(None)[0] == [0] * 5
 
 
 def test_trees_are_monotonic():

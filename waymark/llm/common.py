@@ -6,7 +6,7 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -117,23 +117,6 @@ def word_count(name: str = "text"):
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept up to a bound: the same on every machine."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -141,12 +124,68 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def pieces_of(text: bytes, size: int) -> Iterator[bytes]:
+    """The text cut after white space, a piece of at most `size` bytes where it has white space that often."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > size:
+            found = max(text.rfind(c, at, at + size) for c in (b" ", b"\n", b"\t"))
+            if found < at:
+                ahead = [f for f in (text.find(c, at + size) for c in (b" ", b"\n", b"\t")) if f >= 0]
+                found = min(ahead, default=end - 1)
+            end = found + 1
+        yield text[at:end]
+        at = end
+
+
+#: Bytes that are hashed at once; words longer than LONG_WORD are hashed by xxhash.
+PIECE, LONG_WORD = 1 << 16, 64
+_BASE = 0x9E3779B97F4A7C15
+_INSIDE = np.array([not (b == 0x20 or 9 <= b <= 13) for b in range(256)])
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_POWERS, _INVERSES = (np.cumprod(np.r_[np.uint64(1), np.full(PIECE - 1, p, np.uint64)]) for p in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: the same for the same word everywhere."""
+    if len(text) > PIECE:
+        return np.concatenate([word_hashes(p) if len(p) <= PIECE else np.concatenate([_long_hashes(w) for w in p.split()] or [np.zeros(0, np.uint64)]) for p in pieces_of(text, PIECE)])
+    b = np.frombuffer(text, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    inside = _INSIDE[b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate([[0] if inside[0] else [], edges, [len(b)] if inside[-1] else []]).astype(np.int64)
+    first, last = edges[::2], edges[1::2]
+    # A polynomial in the bytes of each word: differences of running sums, shifted back by the word's place.
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUES[b] * _POWERS[: len(b)], out=sums[1:])
+    size = last - first
+    out = mixed((sums[last] - sums[first]) * _INVERSES[first] + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(text[first[i] : last[i]])
+    return out
+
+
+def _long_hashes(word: bytes) -> np.ndarray:
+    return word_hashes(word) if len(word) <= LONG_WORD else np.array([xxhash.xxh3_64_intdigest(word)], np.uint64)
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window of `width` word hashes; one of the whole sequence if it is shorter."""
     if not len(h):
         return h
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), np.uint64)
-    for k in range(min(width, len(h))):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return out
+    n, k = max(1, len(h) - width + 1), min(width, len(h))
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out += h[i : i + n] * _POWERS[i + 1]
+    return mixed(out)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    h = np.sort(h)
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]

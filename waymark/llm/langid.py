@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, ship, text_bytes
+from .common import mixed, pieces_of, ship, text_bytes
 
 #: The bounds of the labelled sample that the model is fit on.
 TRAINING_DOCUMENTS, TRAINING_CHARS = 1500, 40_000
@@ -57,21 +57,6 @@ def _cleaned(s: str) -> list[bytes]:
     return s.lower().encode().translate(None, _NO_LETTERS).split()
 
 
-def pieces_of(text: bytes, size: int) -> Iterator[bytes]:
-    """The text cut after white space, a piece of at most `size` bytes where it has white space that often."""
-    at = 0
-    while at < len(text):
-        end = len(text)
-        if end - at > size:
-            found = max(text.rfind(c, at, at + size) for c in (b" ", b"\n", b"\t"))
-            if found < at:
-                ahead = [f for f in (text.find(c, at + size) for c in (b" ", b"\n", b"\t")) if f >= 0]
-                found = min(ahead, default=end - 1)
-            end = found + 1
-        yield text[at:end]
-        at = end
-
-
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the weight table that the words use, and the number of each word's rows."""
     flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8).astype(np.uint64)

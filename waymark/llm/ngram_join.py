@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, fresh, hot_keys, ship, spread_join, text_bytes, window_hashes, written
+from .common import distinct, fresh, hot_keys, ship, spread_join, text_bytes, window_hashes, word_hashes, written
 from .components import components, forest
 
 SHINGLE = 4
@@ -54,8 +54,8 @@ TOGETHER = 800_000
 FRONT = 600_000
 
 
-def shingle_set(text: bytes | None, hashes: Hashes, width: int = SHINGLE) -> np.ndarray:
-    return np.unique(window_hashes(hashes.of((text or b"").lower().split()), width))
+def shingle_set(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    return distinct(window_hashes(word_hashes((text or b"").lower()), width))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -276,7 +276,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signatures of all sets, and this part's counts of shingles in buckets, in slices."""
-        hashes, counts = Hashes(), np.zeros(1 << COUNT_BITS, np.int64)
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
         names = ["doc_id", "key", "n", "node", "slice", "counts"]
 
         def count(sets: list[np.ndarray]) -> None:
@@ -286,7 +286,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for b in batches:
             n, node, held, held_n = [], [], [], 0
             for t in b.column(2):
-                s = shingle_set(t.as_py(), hashes, width)
+                s = shingle_set(t.as_py(), width)
                 n.append(len(s))
                 node.append(_signature(s))
                 held.append(s)
@@ -331,7 +331,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles of the prefixes; a row with `other` is an edge."""
-        hashes, met, held, held_n = Hashes(), set(), [], 0
+        met, held, held_n = set(), [], 0
         names = ["token", "node", "size", "place", "other"]
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         for b in batches:
             for t in b.column(0):
-                s = shingle_set(t.as_py(), hashes, width)
+                s = shingle_set(t.as_py(), width)
                 if len(s) and (node := _signature(s)) not in met:
                     met.add(node)
                     p = ordered(s)[: prefix_length(len(s), percent)].view(np.int64)
@@ -399,12 +399,12 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of members, once for each node."""
-        hashes, met = Hashes(), set()
+        met = set()
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 out = []
                 for t, node in zip(b.column(0)[lo : lo + 500], b.column(1)[lo : lo + 500].to_pylist(), strict=True):
-                    if node not in met and _signature(s := shingle_set(t.as_py(), hashes, width)) == node:
+                    if node not in met and _signature(s := shingle_set(t.as_py(), width)) == node:
                         met.add(node)
                         out.append((node, ordered(s).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "items"])

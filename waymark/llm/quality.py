@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import Hashes, ship, text_bytes, window_hashes
+from .common import distinct, ship, text_bytes, window_hashes, word_hashes
 
 #: The bound of the labelled sample that the trees are fit on.
 TRAINING_DOCUMENTS = 6000
@@ -40,18 +40,20 @@ def _count(text: bytes, of: bytes) -> int:
     return len(text) - len(text.translate(None, of))
 
 
-def statistics(text: bytes | None, hashes: Hashes) -> tuple[list[int], list[float]]:
+def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
     """The counts of COUNTS and the values of FEATURES."""
     text = text or b""
-    words = text.split()
-    n = len(words)
+    h = word_hashes(text)
+    n = len(h)
     chars = len(text) - _count(text, _CONTINUED)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    h = hashes.of(words)
     repeated = 0
     if n >= REPEATED_WINDOW:
-        _, at, times = np.unique(window_hashes(h, REPEATED_WINDOW), return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(times[at] > 1)
+        w = window_hashes(h, REPEATED_WINDOW)
+        order = np.argsort(w)
+        same = np.zeros(len(w) + 1, bool)
+        np.equal(w[order][1:], w[order][:-1], out=same[1:-1])
+        twice = order[same[1:] | same[:-1]]
         if len(twice):
             edge = np.zeros(n + 1, np.int64)
             np.add.at(edge, twice, 1)
@@ -64,7 +66,7 @@ def statistics(text: bytes | None, hashes: Hashes) -> tuple[list[int], list[floa
     some, all_chars = max(1, n), max(1, chars)
     values = [
         np.log1p(n), word_chars / some, symbols / all_chars, duplicates / max(1, len(lines)), repeated / some,
-        float((h[1:] == h[:-1]).sum()) / some if n > 1 else 0.0, len(set(h.tolist())) / some, upper / letters,
+        float((h[1:] == h[:-1]).sum()) / some if n > 1 else 0.0, len(distinct(h)) / some, upper / letters,
         text.count(b"!") / all_chars, _count(text, _DIGITS) / all_chars, _count(text, b".,;:?") / all_chars, n / max(1, len(lines)),
     ]
     return [n, word_chars, symbols, duplicates, repeated], values
@@ -76,9 +78,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) ->
     chosen = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
-            found = [statistics(t.as_py(), hashes)[1] for t in b.column(2)]
+            found = [statistics(t.as_py())[1] for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("double"), text_bytes())
@@ -95,9 +96,8 @@ def judge(docs: DataFrame, forest: trees.Forest | None, least: float = LEAST_QUA
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
-            found = [statistics(t.as_py(), hashes) for t in b.column(1)]
+            found = [statistics(t.as_py()) for t in b.column(1)]
             if not found:
                 continue
             counts = np.array([c for c, _ in found], np.int64)
