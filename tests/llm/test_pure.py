@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm import ann, html_extract, licenses, packing, quality, token_counts, trees
+from waymark.llm import html_extract, licenses, packing, quality, token_counts, trees
 from waymark.llm.common import LONG_WORD, PIECE, distinct, window_hashes, word_hashes
 
 
@@ -152,23 +152,6 @@ def test_pieces():
     assert [p[:3] for p in packing.pieces_of(ids[: 4 * 2048])] == [(0, 0, 1024), (1, 1024, 1024)]
 
 
-def test_search_recall():
-    rng = np.random.default_rng(7)
-    v = rng.normal(size=(1500, 24))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    v[700:900] = v[3]
-    ids = np.arange(1500)
-    codes = ann.fit(v[:1000], 1.0)
-    hits = 0
-    for q, found, scores in ann.search(codes, ids, v, ids[::20], v[::20], 20):
-        s = ann.products(v, v[q])
-        s[q] = -np.inf
-        want = np.lexsort((ids, -s))[:20]
-        hits += len(set(want.tolist()) & set(found.tolist()))
-        assert (scores == s[found]).all()
-    assert hits >= 0.9 * 75 * 20
-
-
 def test_templates():
     assert licenses.own_license("x\nLicensed under the Apache License, Version 2.0.\ny".encode(), False)[0] == "Apache-2.0"
     assert licenses.own_license(b"Licensed under CC BY-NC 4.0.", False)[0] == "CC-BY-NC-4.0"

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, html_extract, licenses, packing, quality, token_counts
+from waymark.llm import html_extract, licenses, packing, quality, token_counts
 
 pytest.importorskip("public_tokenizers")
 from waymark.llm.queries import vocabulary  # noqa: E402
@@ -99,22 +99,3 @@ def test_licenses(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("dir", F.lit("clash"))).collect()}
     assert {i: (got[i]["license"], got[i]["inherited_from"]) for i in range(1, 9)} == {1: ("MIT", None), 2: ("Apache-2.0", "a/b"), 3: ("Apache-2.0", None), 4: ("MIT", "a"), 5: (None, None), 6: ("MIT", None), 7: ("CC-BY-NC-4.0", None), 8: (None, None)}
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
-
-
-def test_neighbours(spark):
-    rng = np.random.default_rng(9)
-    v = [[float(x) for x in rng.normal(size=8)] for _ in range(300)]
-    rows = [(i, v[i] if i % 50 else v[7]) for i in range(300)] + [(300, None), (320, [0.0] * 8), (340, [float("nan")] + [1.0] * 7), (341, [None] + [1.0] * 7), (342, [1.0]), (343, [])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
-    got = ann.nearest(table, block=128).toPandas()
-    x = np.array([np.array(r[1], np.float32) for r in rows[:300]], float)
-    hits = 0
-    for q in range(0, 300, 20):
-        s = ann.products(x, x[q])
-        s[q] = -np.inf
-        own = got[got["query_id"] == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 21)) and np.array_equal(own["score"].to_numpy(), s[own["vec_id"].to_numpy()])
-        hits += len(set(np.lexsort((np.arange(300), -s))[:20].tolist()) & set(own["vec_id"]))
-    assert hits >= 0.9 * 15 * 20 and set(got["query_id"]) == set(range(0, 300, 20))
-    assert ann.nearest(table.limit(0)).count() == 0
-    assert len(ann.nearest(table.filter("vec_id < 5")).collect()) == 4

@@ -2,16 +2,20 @@
 
 Vectors become binary codes: signs after rotations that are learned (iterative quantisation) on a bounded sample. The
 largest inner product is a nearest direction once each candidate has a further component that fills its norm up to
-the largest one. Codes are cut into substrings of eight bits, each of them indexed. A code within Hamming radius r of
-a query is within r // m in one of the m substrings, so probing these buckets retrieves every code within r; those are
-ranked by their original vectors. The radius is what the sample's own neighbours ask for.
+the largest one. Codes are cut into substrings of eight bits, each of them indexed by lists of the codes in a bucket.
+The pigeonhole principle says how far each substring is probed: a code within Hamming radius r of a query is within
+its bound in one substring at least, if the bounds and one more for each substring add up to more than r. Probing
+these buckets retrieves every code within r; those are ranked by their original vectors. The radius is what the
+sample's own neighbours ask for.
 
 Candidates and queries are dealt in blocks by hash, every row is indexed, and each pair of blocks is a task of its own
 whose size doesn't depend on the table.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part, nor do those
-of another length than most; equal scores go to the smaller vec_id; if a block's buckets hold fewer codes than are
-asked for, all its codes are ranked; an empty table gives an empty result; other columns are ignored.
+of another length than most; equal scores go to the smaller vec_id; rows that repeat a vec_id are candidates of their
+own, but never of a query of that id, and such queries are answered as one (the smallest vector of the id asks); rows
+with a null vec_id take no part; if a block's buckets hold fewer codes than are asked for, all its codes are ranked;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, written
 
 #: Vectors that rotations and radius are fit on.
 SAMPLE = 8192
 BITS = 128
-BLOCK = 8192
+#: Rows of a block at most; small tables are cut into smaller ones, so that all cores have some.
+BLOCK, LEAST = 32_768, 2_048
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: The part of the sample's true neighbours that the radius has to cover.
-COVERED = 0.98
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+COVERED = 0.97
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 @dataclass(frozen=True)
@@ -75,34 +80,70 @@ def fit(sample: np.ndarray, longest: float, bits: int = BITS, seed: int = 9) ->
         scores = products(sample, sample[i])
         scores[i] = -np.inf
         near = np.argsort(-scores, kind="stable")[: min(NEIGHBOURS, len(sample) - 1)]
-        apart.append(_POPCOUNT[all_codes[near] ^ code].sum(axis=1))
+        apart.append(np.bitwise_count(all_codes[near] ^ code).sum(axis=1, dtype=np.int64))
     apart = np.concatenate(apart) if apart else np.zeros(0)
     return Codes(codes.rotation, longest, int(np.quantile(apart, COVERED, method="higher")) if len(apart) else bits)
 
 
+def bounds(radius: int, substrings: int) -> list[int]:
+    """How far each substring is probed: radius + 1 is dealt evenly, and a bound is one less than its part (-1: not at all)."""
+    each, more = divmod(min(radius, 8 * substrings) + 1, substrings)
+    return [min(8, each - 1 + (t < more)) for t in range(substrings)]
+
+
+class Index:
+    """Codes by the value of each substring: the places of a bucket's codes stand together."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        self.whole = np.ascontiguousarray(codes).view(np.uint64)
+        self.places = [np.argsort(codes[:, t], kind="stable").astype(np.int32) for t in range(codes.shape[1])]
+        self.starts = [np.searchsorted(codes[:, t][p], np.arange(257)) for t, p in enumerate(self.places)]
+
+    def buckets(self, t: int, value: int, bound: int) -> np.ndarray:
+        """Places of the codes whose substring t is within the bound of the value."""
+        start = self.starts[t]
+        return np.concatenate([self.places[t][start[v] : start[v + 1]] for v in np.flatnonzero(_NEAR[value] <= bound)] or [self.places[t][:0]])
+
+    def marked(self, t: int, value: int, bound: int) -> np.ndarray:
+        out = np.zeros(len(self.codes), bool)
+        out[self.buckets(t, value, bound)] = True
+        return out
+
+    def within(self, asked: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+        """For each query code, the places of all codes within the radius."""
+        limit = bounds(radius, self.codes.shape[1])
+        # What a value of a substring retrieves is the same for all queries that have it.
+        seen: dict[tuple[int, int], np.ndarray] = {}
+        wholes = np.ascontiguousarray(asked).view(np.uint64)
+        for code, whole in zip(asked.tolist(), wholes, strict=True):
+            hit = np.zeros(len(self.codes), bool)
+            for t, value in enumerate(code):
+                if limit[t] >= 0:
+                    if (t, value) not in seen:
+                        seen[t, value] = self.marked(t, value, limit[t])
+                    hit |= seen[t, value]
+            found = np.flatnonzero(hit)
+            some = self.whole if len(found) == len(hit) else self.whole[found]
+            apart = np.bitwise_count(some[:, 0] ^ whole[0])
+            for k in range(1, len(whole)):
+                apart += np.bitwise_count(some[:, k] ^ whole[k])
+            yield found[apart <= radius]
+
+
 def search(codes: Codes, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, its k nearest candidates of the block, their scores) for each query."""
-    base, asked = codes.of(vectors, False), codes.of(queries, True)
-    m = base.shape[1]
-    near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= codes.radius // m
-    # index[t][v]: bitmap of the codes in the buckets that a query with value v probes in substring t.
-    index = []
-    for t in range(m):
-        values, where = np.unique(asked[:, t], return_inverse=True)
-        index.append((np.packbits(near[values][:, base[:, t]], axis=1), where))
-    words = np.ascontiguousarray(base)
-    for i in range(len(queries)):
-        hit = index[0][0][index[0][1][i]].copy()
-        for bitmaps, where in index[1:]:
-            hit |= bitmaps[where[i]]
-        found = np.flatnonzero(np.unpackbits(hit, count=len(base)))
-        found = found[_POPCOUNT[words[found] ^ asked[i]].sum(axis=1, dtype=np.int64) <= codes.radius]
-        found = found[ids[found] != query_ids[i]]
+    index = Index(codes.of(vectors, False))
+    for query_id, query, found in zip(query_ids, queries, index.within(codes.of(queries, True), codes.radius), strict=True):
+        found = found[ids[found] != query_id]
         if len(found) < k:
-            found = np.flatnonzero(ids != query_ids[i])
-        scores = products(vectors[found], queries[i])
+            found = np.flatnonzero(ids != query_id)
+        scores = products(vectors[found], query)
+        if len(found) > 4 * k:
+            some = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            found, scores = found[some], scores[some]
         best = np.lexsort((ids[found], -scores))[:k]
-        yield int(query_ids[i]), ids[found][best], scores[best]
+        yield int(query_id), ids[found][best], scores[best]
 
 
 def _valid(v: Column) -> Column:
@@ -114,28 +155,30 @@ def nearest(table: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, blo
     """query_id, rank, vec_id and score of each query's k nearest candidates; queries are the ids that `every` divides."""
     spark = table.sparkSession
     ship(spark)
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(_valid(F.col("v")))
-    kinds = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).orderBy(F.desc("n"), "d").first()
-    out = "query_id long, vec_id long, score double"
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull() & _valid(F.col("v")))
+    rows = written(rows.withColumn("d", F.size("v")).withColumn("square", square), "vectors")
+    kinds = rows.groupBy("d").agg(F.count("*").alias("n"), F.max("square").alias("longest"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked")).orderBy(F.desc("n"), "d").first()
     if kinds is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == kinds["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    codes = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sorted(sample, key=lambda r: r["vec_id"])]), float(np.sqrt(kinds["longest"])) * (1 + 1e-12)))
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    n_base, n_query = -(-kinds["n"] // block), -(-max(1, asked.count()) // block)
-    part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    base = rows.withColumn("b", part(n_base, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    asked = asked.withColumn("q", part(n_query, 2)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))))
+    rows = rows.filter(F.col("d") == kinds["d"]).select("vec_id", "v")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    codes = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sorted(sample, key=lambda r: (r["vec_id"], r["v"]))], float), float(np.sqrt(kinds["longest"])) * (1 + 1e-12)))
+    cores = spark.sparkContext.defaultParallelism
+    n_base, n_query = (max(1, -(-n // block), min(most, -(-n // LEAST))) for n, most in ((kinds["n"], cores), (kinds["asked"], 1)))
+    part = lambda n, *by: F.pmod(F.xxhash64("vec_id", *by), F.lit(n)).cast("int")
+    # Copies of one vec_id, however many, are dealt by their vectors; an id asks once.
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    base = rows.withColumn("b", part(n_base, F.lit(1), F.monotonically_increasing_id())).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+    asked = asked.withColumn("q", part(n_query, F.lit(2))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))))
 
     def one_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        as_matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        as_matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(float)
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         found = list(search(codes.value, left["vec_id"].to_numpy(), as_matrix(left), right["vec_id"].to_numpy(), as_matrix(right), k))
         return pa.table({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
-    best = base.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(one_block, out)
+    best = base.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(one_block, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -45,7 +45,7 @@ PAIRWISE = 48
 #: Postings that a task sorts at once, and rows of a shingle among them from which on it combines them.
 POSTED, LOCAL = 500_000, 4 * PAIRWISE
 #: Shingles of a block of a family: a task inserts one block and walks one.
-BLOCK = 400_000
+BLOCK = 150_000
 #: Numbers of a band's blocks begin at a multiple of this.
 BAND = 1 << 32
 #: Shingles of the groups that a task joins together.
