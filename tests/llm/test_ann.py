@@ -21,6 +21,8 @@ def test_pigeonhole(radius):
     for code, found in zip(asked, index.within(asked, radius), strict=True):
         apart = np.bitwise_count(codes ^ code).sum(axis=1)
         assert found.tolist() == np.flatnonzero(apart <= radius).tolist()
+    for bound in (-1, 0, 1, 2, 5, 8):
+        assert np.flatnonzero(index.marked(3, 77, bound)).tolist() == sorted(index.buckets(3, 77, bound).tolist())
     assert sorted(index.buckets(3, 77, 2).tolist()) == np.flatnonzero(np.bitwise_count(codes[:, 3] ^ np.uint8(77)) <= 2).tolist()
 
 

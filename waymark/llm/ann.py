@@ -38,6 +38,8 @@ BLOCK, LEAST = 32_768, 2_048
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: The part of the sample's true neighbours that the radius has to cover.
 COVERED = 0.97
+#: Probed buckets from which on their codes are looked up, not listed.
+MANY = 16
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -97,6 +99,7 @@ class Index:
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
         self.whole = np.ascontiguousarray(codes).view(np.uint64)
+        self.columns = np.ascontiguousarray(codes.T)
         self.places = [np.argsort(codes[:, t], kind="stable").astype(np.int32) for t in range(codes.shape[1])]
         self.starts = [np.searchsorted(codes[:, t][p], np.arange(257)) for t, p in enumerate(self.places)]
 
@@ -106,6 +109,10 @@ class Index:
         return np.concatenate([self.places[t][start[v] : start[v + 1]] for v in np.flatnonzero(_NEAR[value] <= bound)] or [self.places[t][:0]])
 
     def marked(self, t: int, value: int, bound: int) -> np.ndarray:
+        """The same as flags; where many buckets are probed, it is quicker to look up each code's bucket among them."""
+        probed = _NEAR[value] <= bound
+        if probed.sum() > MANY:
+            return probed[self.columns[t]]
         out = np.zeros(len(self.codes), bool)
         out[self.buckets(t, value, bound)] = True
         return out
@@ -117,14 +124,14 @@ class Index:
         seen: dict[tuple[int, int], np.ndarray] = {}
         wholes = np.ascontiguousarray(asked).view(np.uint64)
         for code, whole in zip(asked.tolist(), wholes, strict=True):
-            hit = np.zeros(len(self.codes), bool)
+            hit = np.zeros(-(-len(self.codes) // 8), np.uint8)
             for t, value in enumerate(code):
                 if limit[t] >= 0:
                     if (t, value) not in seen:
-                        seen[t, value] = self.marked(t, value, limit[t])
+                        seen[t, value] = np.packbits(self.marked(t, value, limit[t]))
                     hit |= seen[t, value]
-            found = np.flatnonzero(hit)
-            some = self.whole if len(found) == len(hit) else self.whole[found]
+            found = np.flatnonzero(np.unpackbits(hit, count=len(self.codes)))
+            some = self.whole if len(found) == len(self.codes) else self.whole[found]
             apart = np.bitwise_count(some[:, 0] ^ whole[0])
             for k in range(1, len(whole)):
                 apart += np.bitwise_count(some[:, k] ^ whole[k])
