@@ -8,8 +8,13 @@ its ancestors. The trees are fit on pages that training_pages() makes up, in whi
 Text: character references are decoded, white space within a block becomes one space (a line break counts as such),
 blocks are trimmed and joined in page order by two line ends; nothing else is dropped or cut.
 
+Formulas, drawings' labels and what stands inside media and object elements are text like any other; a formula's
+annotations, which browsers don't show, are not.
+
 Defined cases: a null or empty page has an empty text, as has one without main text; unclosed and stray tags are
-mended as browsers do, roughly; equal pages give equal texts; other columns are ignored.
+mended as browsers do, roughly, and elements nested deeper than DEEPEST stand beside each other there, as in browsers;
+equal pages give equal texts; rows that repeat a page_id, or have none, are pages of their own; other columns are
+ignored, whatever their names. Very long and malformed pages are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,14 +34,16 @@ from pyspark.sql import functions as F
 from . import trees
 from .common import ship
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z][^\s/>]*|/)")
+_MARK = re.compile("[\"'>]")
 _ATTRIBUTES = re.compile(r"""(?:class|id|role|itemprop|aria-label|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template iframe svg math object select textarea canvas audio video title".split())
+SKIPPED = frozenset("head script style noscript template iframe select textarea title annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var nobr center picture slot wbr".split())
+FOREIGN = frozenset("math mrow mi mn mo ms mtext mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics svg g defs text tspan path circle rect line desc".split())
+INLINE = FOREIGN | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var nobr center picture slot wbr object canvas audio video map output meter progress".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
 #: What closes an open element of the same group when it begins, up to the element that bounds it.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -48,10 +56,60 @@ for _i, _group in enumerate(GROUPS):
     for _t in _group.split():
         TOKEN_GROUP.setdefault(_t, []).append(_i)
 CONTENT_GROUP = 9
+#: Open elements at most, as in browsers.
+DEEPEST = 512
 N_TAGS = max(TAGS.values()) + 2
 WIDTH = 2 * N_TAGS + 2 * len(GROUPS) + 17
 
 
+class Tags:
+    """The tags of a page, found in time linear in its length."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.failed: set[int] = set()  # places outside of quotes from which the last quote is left open
+        self.unclosed: set[str] = set()  # elements whose end tag doesn't come any more
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Begin, end, name, whether it is an end tag, and attributes of the next tag; a comment or declaration has no name."""
+        while m := _OPEN.search(self.source, at):
+            begin, name = m.start(), m[0]
+            if name == "<!--":
+                end = self.source.find("-->", m.end() - 2)
+                return begin, len(self.source) if end < 0 else end + 3, "", False, ""
+            if begin > self.last[">"]:
+                return None
+            if name in ("<!", "<?", "</"):
+                return begin, self.source.find(">", begin) + 1, "", False, ""
+            end = self._end(m.end())
+            return begin, end + 1, name.lstrip("</").lower(), name[1] == "/", self.source[m.end() : end]
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here: at the first > outside of quotes, or the first one if a quote stays open."""
+        way, to = [], at
+        while to not in self.failed and (m := _MARK.search(self.source, to)):
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last[m[0]]:
+                break
+            way.append(to)
+            to = self.source.index(m[0], m.end()) + 1
+        self.failed.update(way, [to])
+        return self.source.find(">", at)
+
+    def closing(self, name: str, at: int) -> tuple[int, int] | None:
+        """Begin and end of the element's next end tag."""
+        if name in self.unclosed:
+            return None
+        m = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(self.source, at)
+        if m is None or m.start() > self.last[">"]:
+            self.unclosed.add(name)
+            return None
+        return m.start(), self.source.find(">", m.end()) + 1
+
+
 class Page:
     """Nodes in page order (parents first) and the blocks of text that belong to them."""
 
@@ -63,9 +121,11 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements; inline ones share their block's node
+        opened: Counter[str] = Counter()  # how many of them there are of each name
         parts: list[str] = []
         links, at, end = 0, 0, len(source)
         node = 0
+        tags = Tags(source)
 
         def flush() -> None:
             if parts:
@@ -80,12 +140,13 @@ class Page:
             flush()
             for tag, _ in stack[to:]:
                 links -= tag == "a"
+                opened[tag] -= 1
             del stack[to:]
             node = stack[-1][1]
 
         while at < end:
-            m = _TAG.search(source, at)
-            stop = m.start() if m else end
+            m = tags.next(at)
+            stop = m[0] if m else end
             if stop > at:
                 text = source[at:stop]
                 parts.append(text)
@@ -93,16 +154,17 @@ class Page:
                     self.linked[node] += len(text)
             if not m:
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            _, at, tag, closing, attributes = m
+            if not tag:
                 continue
-            tag, closing = name.lower(), bool(m[1] or m[4])
             if closing:
+                if not opened[tag]:
+                    continue
                 if tag in INLINE:
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == tag:
                             links -= tag == "a"
+                            opened[tag] -= 1
                             del stack[i]
                             break
                         if stack[i][0] not in INLINE:
@@ -115,17 +177,15 @@ class Page:
                         if tag == "p" and stack[i][0] not in INLINE:
                             break
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in SKIPPED:
-                if tag in RAW:
-                    close = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else end
-                elif tag == "head":
-                    close = re.compile(r"</head[^>]*>|<body\b", re.I).search(source, at)
-                    at = (close.end() if close[0][:2] == "</" else close.start()) if close else at
-                elif not attributes.endswith("/"):
-                    close = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else at
+                close = tags.closing(tag, at)
+                if tag == "head":
+                    body = re.compile(r"<body\b", re.I).search(source, at, close[0] if close else end)
+                    at = body.start() if body else close[1] if close else at
+                elif tag in RAW:
+                    at = close[1] if close else end
+                elif close and not attributes.endswith("/"):
+                    at = close[1]
                 continue
             if tag in ("html", "body"):
                 continue
@@ -136,8 +196,11 @@ class Page:
                     parts.append(" " if tag == "br" else "")
                 continue
             if tag in INLINE:
-                stack.append((tag, node))
-                links += tag == "a"
+                # Only elements of drawings and formulas can close themselves.
+                if len(stack) < DEEPEST and not (tag in FOREIGN and attributes.endswith("/")):
+                    stack.append((tag, node))
+                    opened[tag] += 1
+                    links += tag == "a"
                 continue
             if tag in CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
@@ -158,7 +221,11 @@ class Page:
             flush()
             # Inline elements that are still open around a block end with it.
             while len(stack) > 1 and stack[-1][0] in INLINE:
-                links -= stack.pop()[0] == "a"
+                ended = stack.pop()[0]
+                links -= ended == "a"
+                opened[ended] -= 1
+            if len(stack) >= DEEPEST:
+                pop(len(stack) - 1)
             found = []
             if attributes:
                 for a in _ATTRIBUTES.finditer(attributes):
@@ -170,6 +237,7 @@ class Page:
             self.linked.append(0)
             node = len(self.tag) - 1
             stack.append((tag, node))
+            opened[tag] += 1
         flush()
 
     def features(self) -> np.ndarray:
