@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm import html_extract, licenses, packing, quality, token_counts, trees
+from waymark.llm import html_extract, packing, quality, token_counts, trees
 from waymark.llm.common import LONG_WORD, PIECE, distinct, window_hashes, word_hashes
 
 
@@ -150,25 +150,3 @@ def test_pieces():
     ids = np.arange(2500, dtype="<u4").tobytes()
     assert [p[:3] for p in packing.pieces_of(ids)] == [(0, 0, 452), (1, 452, 1024), (2, 1476, 1024)]
     assert [p[:3] for p in packing.pieces_of(ids[: 4 * 2048])] == [(0, 0, 1024), (1, 1024, 1024)]
-
-
-def test_templates():
-    assert licenses.own_license("x\nLicensed under the Apache License, Version 2.0.\ny".encode(), False)[0] == "Apache-2.0"
-    assert licenses.own_license(b"Licensed under CC BY-NC 4.0.", False)[0] == "CC-BY-NC-4.0"
-    assert licenses.own_license(b"a licence to kill many words in a long line about nothing", False)[0] is None
-    assert licenses.own_license(None, True) == (None, 0.0)
-
-
-def test_whole_licenses_and_wrapped_headers():
-    for name in licenses.WHOLE:
-        text = licenses.whole_text(name)
-        # Under another owner's line, wrapped otherwise, and without its last tenth.
-        for t in (text, "Copyright (c) 2020 A. Body\n\n" + text, " ".join(text.split()), text[: len(text) * 9 // 10]):
-            assert licenses.own_license(t.encode(), True)[0] == name
-    assert licenses.own_license(b"Our house has many rooms, and the terms of the lease are kept in the hall.\n" * 50, True)[0] is None
-    gnu = "{m} This {w} is free software: you can redistribute it and/or modify\n{m} it under the terms of the GNU {n}General Public License as published by\n{m} the Free Software Foundation, either version {v} of the License, or\n{m} (at your option) any later version.\n"
-    for mark in ("#", " *", "//", ""):
-        for w, n, v, want in (("program", "", "3", "GPL-3.0"), ("program", "", "2", "GPL-2.0"), ("library", "Lesser ", "3", "LGPL-3.0"), ("program", "Lesser ", "3", "LGPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("program", "Affero ", "3", "AGPL-3.0")):
-            assert licenses.own_license(("x = 1\n" + gnu.format(m=mark, w=w, n=n, v=v) + "\nimport os\n").encode(), False)[0] == want
-        bsd = f"{mark} Redistribution and use in source and binary forms, with or without\n{mark} modification, are permitted provided that the following conditions\n{mark} are met:\n"
-        assert licenses.own_license(bsd.encode(), False)[0] == "BSD-3-Clause"

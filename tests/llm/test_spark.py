@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import html_extract, licenses, packing, quality, token_counts
+from waymark.llm import html_extract, packing, quality, token_counts
 
 pytest.importorskip("public_tokenizers")
 from waymark.llm.queries import vocabulary  # noqa: E402
@@ -91,11 +91,3 @@ def test_token_counts(docs, empty):
     got = {r["doc_id"]: r for r in token_counts.count(docs, vocabulary("byte_bpe_50k.tiktoken")).collect()}
     assert got[0]["n_tokens"] == got[2]["n_tokens"] == 0 and got[18]["n_tokens"] == 3000 * got[4]["n_tokens"] > 0
     assert token_counts.count(empty, vocabulary("byte_bpe_50k.tiktoken")).count() == 0
-
-
-def test_licenses(spark):
-    mit = "Released under the MIT License."
-    rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.txt", "none"), (3, "a/b/COPYING.md", "Licensed under the Apache License, Version 2.0"), (4, "a/y.txt", None), (5, "z/y.txt", ""), (6, None, mit), (7, "a/b/z.txt", "Licensed under CC BY-NC 4.0."), (8, "top.txt", "x"), (4, "a/y.txt", None)]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("dir", F.lit("clash"))).collect()}
-    assert {i: (got[i]["license"], got[i]["inherited_from"]) for i in range(1, 9)} == {1: ("MIT", None), 2: ("Apache-2.0", "a/b"), 3: ("Apache-2.0", None), 4: ("MIT", "a"), 5: (None, None), 6: ("MIT", None), 7: ("CC-BY-NC-4.0", None), 8: (None, None)}
-    assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0

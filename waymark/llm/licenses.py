@@ -6,9 +6,12 @@ Headers are compared with notices, whole files with notices and with whole licen
 vectors over the templates' words and take the template of greatest cosine. A file without a licence of its own inherits that of the nearest ancestor directory with a licence file: its
 directory's ancestors are joined, path by path, with the directories that have one.
 
+Texts go to Python once; those of licence files, which few files are, a second time for what directories hand down.
+
 Defined cases: a null text has no licence of its own but may inherit; a null path stands in no directory; of equal
 cosines the template that is listed first wins, of several licence files in a directory the one of greatest cosine,
-then of smallest path; equal rows give equal results; other columns are ignored; texts are scanned whole.
+then of smallest path; equal rows, rows that repeat a doc_id and rows without one give a result each; other columns are
+ignored, whatever their names; an empty table gives an empty result; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import hot_keys, ship, spread_join, text_bytes
 
 #: Well-known notices of licences.
 TEMPLATES = (
@@ -158,13 +161,14 @@ def scan(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "path", "is_file", "own_license", "cosine"])
 
     is_file = F.coalesce(F.col("path").rlike(_FILE), F.lit(False))
-    found = files.select(F.col("doc_id").cast("long"), "path", is_file.alias("is_file"), text_bytes()).mapInArrow(run, "doc_id long, path string, is_file boolean, own_license string, cosine double")
-    found = found.withColumn("dir", _parent(F.col("path")))
-    given = found.filter("is_file and own_license is not null").groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("cosine"), F.col("path"))).alias("license")).withColumnRenamed("dir", "ancestor")
+    plain = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), is_file.alias("is_file"), text_bytes().alias("text"))
+    judged = lambda rows: rows.mapInArrow(run, "doc_id long, path string, is_file boolean, own_license string, cosine double").withColumn("dir", _parent(F.col("path")))
+    given = judged(plain.filter("is_file")).filter("own_license is not null").groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("cosine"), F.col("path"))).alias("license")).withColumnRenamed("dir", "ancestor")
     # Each distinct directory looks up its ancestors once, however many files it holds.
-    dirs = files.select(_parent(F.col("path")).alias("dir")).filter("dir is not null").distinct()
+    dirs = plain.select(_parent(F.col("path")).alias("dir")).groupBy("dir").agg(F.count("*").alias("files"))
+    crowded = hot_keys(dirs.filter("dir is not null"), "dir", "files", plain.select("doc_id").count())
     parts = F.split("dir", "/")
     chain = F.concat(F.array(F.lit("")), F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
-    near = dirs.select("dir", F.posexplode(chain).alias("depth", "ancestor")).join(given, "ancestor").groupBy("dir").agg(F.max_by(F.struct("license", "ancestor"), "depth").alias("near"))
-    out = found.join(near, "dir", "left")
+    near = dirs.filter("dir is not null").select("dir", F.posexplode(chain).alias("depth", "ancestor")).join(given, "ancestor").groupBy("dir").agg(F.max_by(F.struct("license", "ancestor"), "depth").alias("near"))
+    out = spread_join(judged(plain), near, ["dir"], F.xxhash64("path"), crowded, "left")
     return out.select("doc_id", "path", "own_license", "cosine", F.coalesce("own_license", "near.license").alias("license"), F.when(F.col("own_license").isNull(), F.col("near.ancestor")).alias("inherited_from"))
