@@ -57,6 +57,10 @@ def test_pieces_and_long_texts():
     assert not crf.long_shares(b"12 34 ...", {}, []).any() and not crf.long_shares(b"", {}, []).any()
 
 
+def test_letters():
+    assert [langid.has_letter(s) for s in ("", "12 _-", "²½Ⅷ", "²½ß", "x", "日", "٣")] == [False, False, False, True, True, True, False]
+
+
 def test_spans(spark):
     crf = small_field()
     text = "The thing, and 12 the thing where of -- nicht der Schein und über nicht! the thing and of the"

@@ -42,7 +42,7 @@ KEPT, CELLS = 250_000, 300_000
 #: Texts of more bytes are labelled by themselves, cut into pieces of that size at white space.
 LONG = 1_000_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
 _ANY = re.compile(r"[^\x20\x09-\x0D]+")
 _NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and not 9 <= b <= 13 and b != 32)
 
@@ -50,7 +50,11 @@ _NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and not 9 <= b
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-case words of letters; a text without a letter has none."""
     s = (text or b"").decode("utf-8", "replace")
-    return _cleaned(s) if _LETTER.search(s) else []
+    return _cleaned(s) if has_letter(s) else []
+
+
+def has_letter(s: str) -> bool:
+    return bool(_LETTER.search(s)) or (not s.isascii() and any(map(str.isalpha, s)))
 
 
 def _cleaned(s: str) -> list[bytes]:
@@ -183,7 +187,7 @@ class Crf:
         held, letters = [], False
         for piece in pieces_of(text, size):
             s = piece.decode("utf-8", "replace")
-            letters = letters or bool(_LETTER.search(s))
+            letters = letters or has_letter(s)
             words = _cleaned(s)
             if words and self.labels:
                 self._meet(words, kept, table)
