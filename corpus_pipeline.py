@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import langid, mixing, ngram_join, packing, secrets
-from waymark.llm.common import fresh, written
+from waymark.llm.common import collected, erase, fresh, written
 from waymark.llm.queries import vocabulary
 
 #: A document whose best language holds a smaller share of its words is rejected, as is one without a language.
@@ -47,6 +47,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with collected() as tables:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            # What the stage has written on its way, and what it read, is not read any more.
+            for spent in tables[:-1]:
+                erase(spent)
+            del tables[:-1]
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -50,20 +52,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The tables written within collected().
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: later stages start from the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """A list of all tables that written() makes within, so that they can be erased when nothing reads them any more."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+    finally:
+        _MADE.reset(token)
 
 
 def erase(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
