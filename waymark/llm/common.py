@@ -12,6 +12,7 @@ from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,11 @@ def erase(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """A small table of whole numbers. It goes to the JVM as Arrow, so that no Python worker has to unpack it."""
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}))
+
+
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """A column name for each of `names` that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

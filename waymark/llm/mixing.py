@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bound, ship, word_count, written
+from .common import WORD, bound, local_table, ship, word_count, written
 
 #: Relative weights of the sources in order of code points, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -77,7 +77,7 @@ def _targets(totals: DataFrame, weights: tuple[float, ...], repeats: int) -> Dat
     for p in sorted(counts):
         starts.append((p, ahead))
         ahead += counts[p]
-    ranked = ordered.join(F.broadcast(ordered.sparkSession.createDataFrame(starts, "part int, ahead long")), part == F.col("part")).withColumn("rank", F.col("ahead") + F.col("id").bitwiseAND((1 << 33) - 1))
+    ranked = ordered.join(F.broadcast(local_table(ordered.sparkSession, starts, "part", "ahead")), part == F.col("part")).withColumn("rank", F.col("ahead") + F.col("id").bitwiseAND((1 << 33) - 1))
     w, s = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("rank") % len(weights) + 1).cast("int")), F.col("source_size")
     ranked = ranked.select("source", "source_size", w.alias("weight"))
     # Sources close when their share would pass their limit; the scale of the rest only grows, so closed ones stay so.

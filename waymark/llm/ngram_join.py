@@ -43,15 +43,17 @@ SLICES = 64
 #: Groups of a shingle up to this size are compared by length and position pair by pair, larger ones chained by length.
 PAIRWISE = 48
 #: Postings that a task sorts at once, and rows of a shingle among them from which on it combines them.
-POSTED, LOCAL = 500_000, 4 * PAIRWISE
+POSTED, LOCAL = 300_000, 4 * PAIRWISE
 #: Shingles of a block of a family: a task inserts one block and walks one.
-BLOCK = 150_000
+BLOCK = 400_000
+#: Bits of the members' filter for each of them, and the powers of two within which its size stays (64 MB at most).
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 20, 29
 #: Numbers of a band's blocks begin at a multiple of this.
 BAND = 1 << 32
 #: Shingles of the groups that a task joins together.
 TOGETHER = 800_000
 #: Pairs of set and trie node that are walked at once.
-FRONT = 600_000
+FRONT = 400_000
 
 
 def shingle_set(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
@@ -321,28 +323,27 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     common = spark.sparkContext.broadcast(table.ravel())
 
     rows = gathered.filter("slice is null").select("doc_id", "key", "n", "node")
-    # Of the rows with a set, the one of the smallest doc_id stands for it.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    reps = written(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), first.alias("first"), F.count("*").alias("copies")).select("node", "n", "first.none", "first.doc_id", "first.key", "copies"), "ngram-reps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    reps = written(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), first.alias("first"), F.count("*").alias("copies")).select("node", "n", "first.none", "first.doc_id", "copies"), "ngram-reps")
     hot = hot_keys(reps, "node", "copies", rows.count())
 
     def ordered(s: np.ndarray) -> np.ndarray:
         return s[np.lexsort((s, common.value[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))]
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shingles of the prefixes; a row with `other` is an edge."""
+        """Shingles of the prefixes, `at` holding the set's size and the place in it; a row with `other` is an edge."""
         met, held, held_n = set(), [], 0
-        names = ["token", "node", "size", "place", "other"]
+        names = ["token", "node", "at", "other"]
 
         def out() -> Iterator[pa.RecordBatch]:
             token, node, size, place = np.concatenate(held, axis=1)
             stay, (by, a, b) = combined(token, node, size, place, percent)
             for at in range(0, len(stay), 100_000):
                 some = stay[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(node[some]), pa.array(size[some].astype(np.int32)), pa.array(place[some].astype(np.int32)), pa.nulls(len(some), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(node[some]), pa.array(size[some] << 32 | place[some]), pa.nulls(len(some), pa.int64())], names)
             if len(a):
                 low, high = forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(low), pa.array(np.zeros(len(low), np.int32)), pa.array(np.zeros(len(low), np.int32)), pa.array(high)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(low), pa.array(np.zeros(len(low), np.int64)), pa.array(high)], names)
 
         for b in batches:
             for t in b.column(0):
@@ -359,17 +360,18 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield from out()
 
     # Each part of the table posts a set once; the same posting from several parts makes no edge of its own.
-    posted = texts.select("text").mapInArrow(postings, "token long, node long, size int, place int, other long").repartition("token").sortWithinPartitions("token", "size")
+    posted = texts.select("text").mapInArrow(postings, "token long, node long, at long, other long").repartition("token").sortWithinPartitions("token", "at")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(percent)
         batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
         for b in batches:
-            other = b.column(4)
+            other = b.column(3)
             is_edge = other.is_valid().to_numpy(zero_copy_only=False)
             if is_edge.any():
                 yield batch(b.column(1).filter(other.is_valid()), other.drop_null())
-            yield batch(*chunks.add(np.stack([b.column(i).to_numpy().astype(np.int64)[~is_edge] for i in range(4)])))
+            token, node, place = (b.column(i).to_numpy()[~is_edge] for i in range(3))
+            yield batch(*chunks.add(np.stack([token, node, place >> 32, place & 0xFFFFFFFF])))
         yield batch(*chunks.add(np.zeros((4, 0), np.int64), True))
 
     families = components(posted.mapInArrow(edges, "a long, b long"))
@@ -392,24 +394,31 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     below = F.transform(numbers(F.col("band") - 1), lambda k: pair(k, F.col("block")))
     groups = F.when(cut, F.concat(own, above, below)).otherwise(F.array(pair(F.lit(0).cast("long"), F.lit(0).cast("long"))))
     placed = placed.withColumn("group", F.explode(groups)).select("node", "root", "block", "copies", "group.i", "group.j")
-    # Texts of members: one row for each set, or several equal ones.
-    wanted = members.select("key", "doc_id", "node")
-    hot_texts = [r[0] for r in wanted.filter(F.col("node").isin(hot)).select("key").collect()] if hot else []
-    member_text = spread_join(texts, wanted, ["key", "doc_id"], F.monotonically_increasing_id(), hot_texts)
+    # Which sets are members goes to all tasks as a filter of bounded size; what it lets through by chance goes in the join.
+    bits = 1 << min(FILTER_MOST, max(FILTER_LEAST, (FILTER_BITS * members.count()).bit_length()))
+    spot = F.col("node").bitwiseAND(bits - 1) + 1
+    maps = members.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("map")).collect()
+    flags = np.zeros(bits // 8, np.uint8)
+    for r in maps:
+        flags[4096 * (r["bucket"] - 1) : 4096 * r["bucket"]] = np.frombuffer(r["map"], np.uint8)
+    member = spark.sparkContext.broadcast(flags)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of members, once for each node."""
-        met = set()
+        """Sets of members, once for each part of the table."""
+        met, flags = set(), member.value
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 out = []
-                for t, node in zip(b.column(0)[lo : lo + 500], b.column(1)[lo : lo + 500].to_pylist(), strict=True):
-                    if node not in met and _signature(s := shingle_set(t.as_py(), width)) == node:
+                for t in b.column(0)[lo : lo + 500]:
+                    s = shingle_set(t.as_py(), width)
+                    node = _signature(s)
+                    spot = node & (bits - 1)
+                    if flags[spot >> 3] >> (spot & 7) & 1 and len(s) and node not in met:
                         met.add(node)
                         out.append((node, ordered(s).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "items"])
 
-    sets = member_text.select("text", "node").mapInArrow(rebuilt, "node long, items binary")
+    sets = texts.select("text").mapInArrow(rebuilt, "node long, items binary")
 
     def join_groups(held: list[tuple]) -> pa.RecordBatch:
         """held: (group, node, items, copies, block) of whole groups."""

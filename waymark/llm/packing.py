@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes, written
+from .common import local_table, ship, text_bytes, written
 
 LENGTH = 1024
 CLOSING_ID = 2
@@ -34,7 +34,7 @@ CLOSING_ID = 2
 #: into more of them if a bucket would hold more pieces than this in the mean.
 BUCKETS, BUCKET_PIECES = 512, 1_000_000
 #: Units of text whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 300_000
 #: White space other than single spaces and single line ends: there a unit would cut a pre-token.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -215,7 +215,7 @@ def _packed(docs: DataFrame, vocabulary: str, length: int, keep_ids: bool) -> Da
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     # At most `length` rows: one for each length of a piece.
     moves = plan_bins({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, length)
-    plan = F.broadcast(spark.createDataFrame(moves, "p_length long, first_rank long, pieces long, first_bin long, each long, base long"))
+    plan = F.broadcast(local_table(spark, moves, "p_length", "first_rank", "pieces", "first_bin", "each", "base"))
     ranked = made.withColumn("within", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "row")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
     # The plan has a few moves for each length, whatever the number of pieces.
