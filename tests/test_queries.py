@@ -8,7 +8,7 @@ import pytest
 from waymark.plans import queries
 
 DATA = Path("/root/testdata/sf0.001")
-SAMPLE = ("clean_accuracy", "clean_jumps", "clean_driving", "two_pass_clusters", "join_candidates", "cluster_summary", "place_bbox", "bbox_union", "candidate_ranks", "visits")
+SAMPLE = ("clean_accuracy", "clean_jumps", "clean_driving", "two_pass_clusters", "join_candidates", "cluster_summary", "place_bbox", "bbox_union", "candidate_ranks", "unmatched_clusters", "visits")
 
 
 def test_every_query_has_sql():

@@ -11,9 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import geo
 
 
+def haversine(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Great-circle distances in metres, as geo.haversine_m."""
+    s, t = np.sin(np.radians(lat2 - lat1) / 2), np.sin(np.radians(lon2 - lon1) / 2)
+    with np.errstate(invalid="ignore"):
+        return 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(s * s + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * t * t))
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of a list column (null counts as empty)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -102,6 +110,7 @@ def _area(flat: pa.Array) -> pa.Array:
 
 def with_geometry(places: DataFrame) -> DataFrame:
     """places with flat (their edges), area_m2 and naics4, computed once for each place."""
+    ship(places.sparkSession)
     of = lambda c: F.transform("polygon", lambda p: p[c])
     df = places.withColumn("flat", F.arrow_udf(_closed, "array<double>")(of("lat"), of("lon")))
     return df.withColumn("area_m2", F.arrow_udf(_area, "double")(F.col("flat"))).withColumn("naics4", geo.naics4(F.col("naics")))

@@ -1,14 +1,19 @@
-"""Cleaning: accuracy, impossible jumps, driving. One shuffle by device serves all three."""
+"""Cleaning: accuracy, impossible jumps, driving. Jumps are walked in order of time, a batch at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.geo import haversine_m
+from ..functions.vector import haversine
+from ..shipping import ship
 
 #: A stage that returns a time-ordered subset of pings.
 PingCleaner = Callable[[DataFrame], DataFrame]
@@ -35,24 +40,70 @@ def by_time() -> Window:
     return Window.partitionBy("device_id").orderBy("time_s", "ping_seq")
 
 
+class JumpWalk:
+    """Which pings of a device stay, as its pings come in order of time; the last one that stayed is carried along."""
+
+    def __init__(self, max_speed_m_s: float) -> None:
+        self.most = max_speed_m_s
+        self.anchor: tuple[float, float, float] | None = None
+
+    def bad(self, lat, lon, time, to_lat, to_lon, to_time) -> np.ndarray:
+        """Whether a ping isn't later than the one before, or couldn't be reached from it in time."""
+        dt = to_time - time
+        with np.errstate(invalid="ignore"):
+            return (dt <= 0) | (haversine(lat, lon, to_lat, to_lon) / np.where(dt <= 0, 1.0, dt) > self.most)
+
+    def add(self, lat: np.ndarray, lon: np.ndarray, time: np.ndarray) -> np.ndarray:
+        """Flags of the next pings. Only jumps are walked one by one: between them each ping is the next one's anchor."""
+        n = len(lat)
+        kept = np.zeros(n, bool)
+        jumps = np.flatnonzero(self.bad(lat[:-1], lon[:-1], time[:-1], lat[1:], lon[1:], time[1:])) + 1
+        at = 0 if self.anchor is None else self._landing(0, lat, lon, time)
+        while at < n:
+            k = int(np.searchsorted(jumps, at, "right"))
+            end = int(jumps[k]) if k < len(jumps) else n
+            kept[at:end] = True
+            self.anchor = (lat[end - 1], lon[end - 1], time[end - 1])
+            at = end if end == n else self._landing(end + 1, lat, lon, time)
+        return kept
+
+    def _landing(self, at: int, lat: np.ndarray, lon: np.ndarray, time: np.ndarray) -> int:
+        """The first place from `at` on that can be reached from the anchor."""
+        width = 16
+        while at < len(lat):
+            good = np.flatnonzero(~self.bad(*self.anchor, lat[at : at + width], lon[at : at + width], time[at : at + width]))
+            if len(good):
+                return at + int(good[0])
+            at, width = at + width, 2 * width
+        return len(lat)
+
+
 def filter_jumps(pings: DataFrame, config: Config) -> DataFrame:
     """Drops a ping which isn't later than the last kept one, or couldn't be reached from it in time.
 
-    A fold over each device's sorted pings; it carries the last kept ping and the places of kept ones.
+    Devices are dealt over tasks and sorted there; a task holds one batch of pings and the anchor of one device.
     """
-    trail = pings.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("time_s", "ping_seq", "lat", "lon", "horizontal_accuracy_m"))).alias("trail"))
-
-    def step(state: Column, i: Column) -> Column:
-        p, a = F.get("trail", i), F.get("trail", state["last"])
-        dt = p["time_s"] - a["time_s"]
-        moved = haversine_m(a["lat"], a["lon"], p["lat"], p["lon"])
-        bad = (dt <= 0) | above(moved / F.when(dt <= 0, F.lit(1.0)).otherwise(dt), config.max_speed_m_s)
-        return F.when(bad, state).otherwise(F.struct(i.alias("last"), F.array_append(state["kept"], i).alias("kept")))
-
-    start = F.struct(F.lit(0).alias("last"), F.array(F.lit(0)).alias("kept"))
-    rest = F.when(F.size("trail") > 1, F.sequence(F.lit(1), F.size("trail") - 1)).otherwise(F.array().cast("array<int>"))
-    kept = F.aggregate(rest, start, step)["kept"]
-    return trail.select("device_id", "trail", F.explode(kept).alias("_i")).select("device_id", F.get("trail", F.col("_i")).alias("p")).select("device_id", *(F.col(f"p.{c}").alias(c) for c in PING))
+    ship(pings.sparkSession)
+    rows = pings.select("device_id", *PING)
+    most = float(config.max_speed_m_s)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, device = JumpWalk(most), object()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = pc.fill_null(b.column(0).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            lat, lon, time = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            kept = np.zeros(len(ids), bool)
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if (own := b.column(0)[a].as_py()) != device:
+                    state, device = JumpWalk(most), own
+                kept[a:z] = state.add(lat[a:z], lon[a:z], time[a:z])
+            yield b.filter(pa.array(kept))
+
+    dealt = rows.repartition("device_id").sortWithinPartitions("device_id", "time_s", "ping_seq")
+    return dealt.mapInArrow(walk, rows.schema)
 
 
 def with_hops(pings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import geo, vector
+from ..shipping import ship
 from .clean import PING
 
 #: A stage from (pings, places) to clusters.
@@ -34,6 +35,7 @@ def in_large_places(pings: DataFrame, places: DataFrame, config: Config) -> Data
 
     Places and pings meet in the cells of a grid, so the join has keys; whether it broadcasts is up to the sizes.
     """
+    ship(pings.sparkSession)
     cells = large_places(places, config).withColumn("_b", geo.ring_bbox(F.col("polygon"), F.lit(1.0))).filter("_b is not null")
     cells = cells.withColumn("cell_lat", F.explode(F.sequence(cell(F.col("_b.min_lat")), cell(F.col("_b.max_lat"))))).withColumn("cell_lon", F.explode(F.sequence(cell(F.col("_b.min_lon")), cell(F.col("_b.max_lon")))))
     p, c = pings.alias("p"), cells.select("place_id", "area_m2", "flat", "_b", "cell_lat", "cell_lon").alias("c")
@@ -50,12 +52,6 @@ def smallest_large_place(pings: DataFrame, places: DataFrame, config: Config) ->
     return held.groupBy("device_id", "ping_seq").agg(F.min(F.struct("area_m2", "place_id"))["place_id"].alias("place_id"))
 
 
-def _haversine(lat1, lon1, lat2, lon2) -> np.ndarray:
-    s, t = np.sin(np.radians(lat2 - lat1) / 2), np.sin(np.radians(lon2 - lon1) / 2)
-    with np.errstate(invalid="ignore"):
-        return 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(s * s + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * t * t))
-
-
 def large_runs(inside: list[set[int]], smallest: list[int | None]) -> np.ndarray:
     """Number of the run that each ping belongs to, or -1. A run lasts while its pings are inside its first one's place."""
     out, run, place = np.full(len(inside), -1), -1, None
@@ -74,7 +70,7 @@ def density_starts(lat: np.ndarray, lon: np.ndarray, time: np.ndarray, fresh: np
     near = np.full(n, n)  # how many members back the nearest close one is
     last = np.full(n, np.nan)
     for k in range(min(LOOKBACK, n - 1), 0, -1):
-        d = _haversine(lat[:-k], lon[:-k], lat[k:], lon[k:])
+        d = vector.haversine(lat[:-k], lon[:-k], lat[k:], lon[k:])
         near[k:][d <= config.dist_threshold_m] = k
         if k == 1:
             last[1:] = d

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import geo, vector
+from ..shipping import ship
 from . import spatial
 from .cluster import cell
 
@@ -44,6 +45,7 @@ def candidate_pairs(clusters: DataFrame, places: DataFrame, config: Config) -> D
     Boxes meet in grid cells; a pair counts in one cell only, that of the lower corner of what its boxes share, so
     nothing has to be made distinct.
     """
+    ship(clusters.sparkSession)
     c = _cells(with_probe(clusters, config), "probe").alias("c")
     kept = place_boxes(places, config).filter(F.size("flat") > 0).select("place_seq", "place_id", "naics4", F.col("centroid").alias("place_centroid"), "flat", "bbox")
     p = _cells(kept, "bbox").alias("p")

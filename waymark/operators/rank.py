@@ -12,6 +12,7 @@ from ..config import TrainConfig
 from ..errors import InvalidInput
 from ..gbdt.model import NUMERIC, Branch, FeatureSchema, GbdtModel, Node
 from ..gbdt.train import fit
+from ..shipping import ship
 from . import features
 
 #: A stage from candidates to visits.
@@ -42,6 +43,7 @@ def score(model: GbdtModel) -> Column:
 
 def wins(lists: DataFrame, model: GbdtModel) -> DataFrame:
     """Wins of each candidate that has any: a score of zero or more is a win of the first of a pair, all else of the second."""
+    ship(lists.sparkSession)
     s = score(model)
     first = ~F.isnan(s) & (s >= 0)
     winner = F.when(first, F.col("a.cand_idx")).otherwise(F.col("b.cand_idx"))

@@ -5,6 +5,7 @@ Distances and areas are whole millimetres and square decimetres, so that the las
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -304,8 +305,13 @@ _CLEAN = ("pings", "acc", "jumps", "windows", "cleaned")
 _FOUND = ("places", *_CLEAN, "held", "large", "sessions", "clusters", "found")
 
 
+#: Parts that later ones read more than once: DuckDB is told to compute them once.
+SHARED = ("clusters", "members", "found")
+
+
 def _sql(parts: tuple[str, ...], select: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(PARTS[p] for p in parts) + "\n" + select
+    text = "WITH RECURSIVE " + ",\n".join(PARTS[p] for p in parts) + "\n" + select
+    return re.sub(rf"\b({'|'.join(SHARED)}) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", text)
 
 
 def oracle_sql() -> dict[str, str]:
