@@ -104,6 +104,49 @@ def test_chunks_join_what_one_pass_joins(most, monkeypatch):
         assert all(got[i] == got[j] for i in range(120) for j in range(i) if want[i] == want[j])
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = common.distinct(rng.integers(0, 1 << 64, rng.integers(1, 700), np.uint64))
+        b = common.distinct(np.concatenate([a[rng.random(len(a)) < rng.choice((0, 0.5, 0.95))], rng.integers(0, 1 << 64, rng.integers(0, 300), np.uint64)]))
+        assert ngram_join.surely_apart(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(np.setxor1d(a, b))
+        assert ngram_join.surely_apart(ngram_join.sketch(a), ngram_join.sketch(a)) == 0
+    a, b = (rng.integers(0, 1 << 64, 450, np.uint64) for _ in range(2))
+    assert ngram_join.surely_apart(ngram_join.sketch(a), ngram_join.sketch(b)) > ngram_join.most_apart(np.array(450), np.array(450))
+
+
+def test_linked_sets_meet_at_their_first_shared_shingle():
+    rng = random.Random(9)
+    sets = []
+    for _ in range(12):
+        base = set(rng.sample(range(400), rng.randint(1, 60)))
+        sets += [base ^ set(rng.sample(range(400), rng.randint(0, 4))) for _ in range(5)]
+    sets = [sorted(s) for s in {frozenset(s) for s in sets} if s]
+    rows = [(t, k, len(s), i, s[i - 1] if i else 0) for k, s in enumerate(sets) for i, t in enumerate(s[: ngram_join.prefix_length(len(s))])]
+    table = np.array(rows, np.int64).T
+    table = table[:, np.lexsort((table[2], table[0]))]
+    pairs, chains = ngram_join.Chunks(85).pairs(table, True)
+    want = {(i, j) for i, j in brute_links([set(s) for s in sets]) if i < j}
+    assert want and not chains.shape[1] and want <= set(map(tuple, pairs.T.tolist()))
+
+
+def test_chance_neighbours_make_no_families(spark, monkeypatch):
+    """Each shingle is in two texts, so all texts meet in their prefixes, but no two are near each other."""
+    seen = []
+
+    def counted(edges, *more):
+        seen.append(edges.count())
+        return components.components(edges, *more)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    block = lambda i, j: " ".join(f"b{min(i, j)}x{max(i, j)}w{k}" for k in range(60))
+    texts = [(i, " ".join(block(i, j) for j in range(12) if j != i)) for i in range(12)]
+    texts.append((12, texts[3][1] + " more"))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: (3 if i == 12 else i, int(i in (3, 12))) for i in range(13)}
+    assert seen[0] == 1
+
+
 def test_components_with_hot_nodes(spark, monkeypatch):
     monkeypatch.setattr(common, "SALTS", 4)
     rng = random.Random(7)

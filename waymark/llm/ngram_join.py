@@ -3,7 +3,10 @@
 A document's set holds 64-bit hashes of its distinct shingles. Equal sets become one representative. All sets follow
 one global order, rarest first: the order's key is a count of shingles in a fixed number of hash buckets over the
 whole corpus, then the hash; any such order gives the same links, a good one keeps common shingles out of prefixes.
-Two linked sets share a shingle in their prefixes, so representatives that share one there fall in one family.
+Two linked sets share a shingle in their prefixes. Representatives that share one there are a candidate pair, unless their
+sketches (parities of hash buckets, about a bit a shingle) differ in more places than linked sets can; those of a pair
+that stays fall in one family. Without the sketches families would grow faster than the corpus, as ever more sets
+share some shingle by chance. A shingle in the prefixes of many sets chains them without a look at sketches.
 A family is joined whole: its ordered sets become a trie, each set walks it with all partial overlaps shared along
 common beginnings, and a subtree goes as soon as the sets' remaining lengths can't make up for what has been missed.
 Families with many shingles are cut into bands of sizes (sets of different bands are only linked with the next band)
@@ -40,6 +43,8 @@ PERCENT = 85
 #: Buckets of the corpus counts that order the shingles: a table of a fixed size, one byte each.
 COUNT_BITS = 21
 SLICES = 64
+#: Bits of a set's sketch: the power of two that is no smaller than the set, within these.
+SKETCH_LEAST, SKETCH_MOST = 64, 1 << 17
 #: Groups of a shingle up to this size are compared by length and position pair by pair, larger ones chained by length.
 PAIRWISE = 48
 #: Postings that a task sorts at once, and rows of a shingle among them from which on it combines them.
@@ -176,10 +181,39 @@ def _advance(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nda
     return lo
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Whether each hash bucket holds an odd number of the set's shingles; halves combine to the sketch of half the buckets."""
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << max(0, len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def surely_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of the sets with these sketches: the buckets where it is odd."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def prefix_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join, for each shingle, all representatives which may be linked and have it in their prefixes."""
+    compared, chains = prefix_pairs(token, node, size, place, None, percent)
+    return np.concatenate([compared[0], chains[0]]), np.concatenate([compared[1], chains[1]])
+
+
+def prefix_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, before: np.ndarray | None, percent: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of small groups, and edges that chain large ones.
+
+    before: the shingle ahead of this one in the set's order. Where both sets of a pair have the same one, this is not
+    the first shingle that they share, and the pair is found at that.
+    """
     order = np.lexsort((size, token))
     token, node, size, place = token[order], node[order], size[order], place[order]
+    before = None if before is None else before[order]
     cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
     n = np.diff(np.r_[cut, len(token)])
     out_a, out_b = [], []
@@ -191,12 +225,14 @@ def prefix_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: n
         i = np.repeat(start, width - k) + np.arange((width - k).sum()) - np.repeat(np.cumsum(width - k) - (width - k), width - k)
         j = i + k
         ok = (100 * size[i] >= percent * size[j]) & (place[i] + place[j] <= most_apart(size[i], size[j], percent))
+        if before is not None:
+            ok &= (before[i] != before[j]) | (place[i] == 0) | (place[j] == 0)
         out_a.append(node[i[ok]])
         out_b.append(node[j[ok]])
     i = np.flatnonzero(np.r_[token[1:] == token[:-1], False]) if len(token) else np.zeros(0, np.int64)
     i = i[np.repeat(n, n)[i] > PAIRWISE]
     i = i[100 * size[i] >= percent * size[i + 1]]
-    return np.concatenate([np.zeros(0, np.int64), *out_a, node[i]]), np.concatenate([np.zeros(0, np.int64), *out_b, node[i + 1]])
+    return (np.concatenate([np.zeros(0, np.int64), *out_a]), np.concatenate([np.zeros(0, np.int64), *out_b])), (node[i], node[i + 1])
 
 
 def chained(node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,15 +273,20 @@ class Chunks:
 
     def __init__(self, percent: int, most: int = POSTED) -> None:
         self.percent, self.most = percent, most
-        self.held = np.zeros((4, 0), np.int64)
+        self.held: np.ndarray | None = None
         self.long: int | None = None  # a shingle of which the last row is held, the others being chained already
 
     def add(self, rows: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """rows: token, node, size and place. (member, root) pairs of what is now known."""
-        self.held = np.concatenate([self.held, rows], axis=1)
+        compared, chains = self.pairs(rows, last)
+        return forest(*(np.concatenate([compared[i], chains[i]]) for i in range(2)))
+
+    def pairs(self, rows: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """rows: token, node, size, place and, if known, before. Distinct candidate pairs, the smaller node first, and the forest of chains."""
+        self.held = rows if self.held is None else np.concatenate([self.held, rows], axis=1)
         if self.held.shape[1] < self.most and not last:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = []
+            return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
+        found, compared = [], np.zeros((2, 0), np.int64)
         token = self.held[0]
         if self.long is not None and len(token):
             k = int(np.searchsorted(token, self.long, "right"))
@@ -257,13 +298,19 @@ class Chunks:
             token = self.held[0]
             begin = len(token) if last else int(np.searchsorted(token, token[-1], "left"))
             if begin or last:
-                found.append(prefix_links(*self.held[:, :begin], self.percent))
+                own = self.held[:, :begin]
+                near, far = prefix_pairs(*own[:4], own[4] if len(own) > 4 else None, self.percent)
+                found.append(far)
+                near = np.sort(np.stack(near), axis=0)
+                near = near[:, near[0] != near[1]]
+                near = near[:, np.lexsort(near)]
+                compared = near[:, np.r_[True, (near[:, 1:] != near[:, :-1]).any(axis=0)][: near.shape[1]]]
                 self.held = self.held[:, begin:]
             if self.held.shape[1] >= self.most:
                 self.long = int(self.held[0, 0])
                 found.append(chained(self.held[1], self.held[2], self.percent))
                 self.held = self.held[:, -1:]
-        return forest(*(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2)))
+        return compared, np.stack(forest(*(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2))))
 
 
 def _signature(s: np.ndarray) -> int:
@@ -279,18 +326,19 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signatures of all sets, and this part's counts of shingles in buckets, in slices."""
         counts = np.zeros(1 << COUNT_BITS, np.int64)
-        names = ["doc_id", "key", "n", "node", "slice", "counts"]
+        names = ["doc_id", "key", "n", "node", "sketch", "slice", "counts"]
 
         def count(sets: list[np.ndarray]) -> None:
             nonlocal counts
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
 
         for b in batches:
-            n, node, held, held_n = [], [], [], 0
+            n, node, sketches, held, held_n = [], [], [], [], 0
             for t in b.column(2):
                 s = shingle_set(t.as_py(), width)
                 n.append(len(s))
                 node.append(_signature(s))
+                sketches.append(sketch(s))
                 held.append(s)
                 held_n += len(s)
                 if held_n > 1_000_000:
@@ -298,13 +346,13 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     held, held_n = [], 0
             if held_n:
                 count(held)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
             kind = np.uint16 if counts.max() < 65536 else np.int64
             parts = [x.astype(kind).tobytes() for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    gathered = written(texts.mapInArrow(gather, "doc_id long, key long, n long, node long, slice int, counts binary"), "ngram-sets")
+    gathered = written(texts.mapInArrow(gather, "doc_id long, key long, n long, node long, sketch binary, slice int, counts binary"), "ngram-sets")
     each = (1 << COUNT_BITS) // SLICES
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,9 +370,11 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # 2**COUNT_BITS bytes, whatever the size of the corpus.
     common = spark.sparkContext.broadcast(table.ravel())
 
-    rows = gathered.filter("slice is null").select("doc_id", "key", "n", "node")
+    rows = gathered.filter("slice is null").select("doc_id", "key", "n", "node", "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    reps = written(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), first.alias("first"), F.count("*").alias("copies")).select("node", "n", "first.none", "first.doc_id", "copies"), "ngram-reps")
+    own = rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("first"), F.count("*").alias("copies"))
+    sketched = written(own.select("node", "n", "first.none", "first.doc_id", "copies", "sketch"), "ngram-reps")
+    rows, reps = rows.drop("sketch"), sketched.drop("sketch")
     hot = hot_keys(reps, "node", "copies", rows.count())
 
     def ordered(s: np.ndarray) -> np.ndarray:
@@ -333,17 +383,17 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles of the prefixes, `at` holding the set's size and the place in it; a row with `other` is an edge."""
         met, held, held_n = set(), [], 0
-        names = ["token", "node", "at", "other"]
+        names = ["token", "node", "at", "before", "other"]
 
         def out() -> Iterator[pa.RecordBatch]:
-            token, node, size, place = np.concatenate(held, axis=1)
+            token, node, size, place, before = np.concatenate(held, axis=1)
             stay, (by, a, b) = combined(token, node, size, place, percent)
             for at in range(0, len(stay), 100_000):
                 some = stay[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(node[some]), pa.array(size[some] << 32 | place[some]), pa.nulls(len(some), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(node[some]), pa.array(size[some] << 32 | place[some]), pa.array(before[some]), pa.nulls(len(some), pa.int64())], names)
             if len(a):
                 low, high = forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(low), pa.array(np.zeros(len(low), np.int64)), pa.array(high)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(low), pa.array(np.zeros(len(low), np.int64)), pa.nulls(len(low), pa.int64()), pa.array(high)], names)
 
         for b in batches:
             for t in b.column(0):
@@ -351,7 +401,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(s) and (node := _signature(s)) not in met:
                     met.add(node)
                     p = ordered(s)[: prefix_length(len(s), percent)].view(np.int64)
-                    held.append(np.stack([p, np.full(len(p), node), np.full(len(p), len(s)), np.arange(len(p))]))
+                    held.append(np.stack([p, np.full(len(p), node), np.full(len(p), len(s)), np.arange(len(p)), np.r_[np.int64(0), p[:-1]]]))
                     held_n += len(p)
                     if held_n >= POSTED:
                         yield from out()
@@ -360,21 +410,42 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield from out()
 
     # Each part of the table posts a set once; the same posting from several parts makes no edge of its own.
-    posted = texts.select("text").mapInArrow(postings, "token long, node long, at long, other long").repartition("token").sortWithinPartitions("token", "at")
+    posted = texts.select("text").mapInArrow(postings, "token long, node long, at long, before long, other long").repartition("token").sortWithinPartitions("token", "at")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) with a < b; `sure` ones are chained."""
         chunks = Chunks(percent)
-        batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        def out(found: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
+            for at in range(0, found.shape[1], 100_000):
+                a, b = np.sort(found[:, at : at + 100_000], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+
+        def both(compared: np.ndarray, chains: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from out(compared, False)
+            yield from out(chains, True)
+
         for b in batches:
-            other = b.column(3)
+            other = b.column(4)
             is_edge = other.is_valid().to_numpy(zero_copy_only=False)
             if is_edge.any():
-                yield batch(b.column(1).filter(other.is_valid()), other.drop_null())
-            token, node, place = (b.column(i).to_numpy()[~is_edge] for i in range(3))
-            yield batch(*chunks.add(np.stack([token, node, place >> 32, place & 0xFFFFFFFF])))
-        yield batch(*chunks.add(np.zeros((4, 0), np.int64), True))
+                yield from out(np.stack([b.column(1).filter(other.is_valid()).to_numpy(), other.drop_null().to_numpy()]), True)
+            token, node, place, before = (b.column(i).filter(other.is_null()).to_numpy() for i in range(4))
+            yield from both(*chunks.pairs(np.stack([token, node, place >> 32, place & 0xFFFFFFFF, before])))
+        yield from both(*chunks.pairs(np.zeros((5, 0), np.int64), True))
 
-    families = components(posted.mapInArrow(edges, "a long, b long"))
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chained pairs, and those whose sketches allow a link."""
+        for b in batches:
+            sure, n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in ("sure", "n_a", "n_b"))
+            most = most_apart(n, m, percent)
+            ok = [s or surely_apart(x.as_py(), y.as_py()) <= k for s, x, y, k in zip(sure.tolist(), b.column("sketch_a"), b.column("sketch_b"), most.tolist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    candidates = posted.mapInArrow(edges, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    for side in "ab":
+        candidates = candidates.join(sketched.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    families = components(candidates.mapInArrow(alike, "a long, b long"))
     # Sizes of linked sets are within one band or neighbouring ones (which are a little wider, for rounding's sake).
     band = F.floor(F.log("n") / F.lit(1.0001 * float(np.log(100 / percent)))).cast("long")
     members = written(families.join(reps, "node").withColumn("band", band), "families")
