@@ -239,6 +239,20 @@ def test_representatives(spark):
     assert {r["_key"] for r in kept.filter("doc_id = 3000").collect()} <= {"a"}
 
 
+def test_representatives_shuffle_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_classes", lambda docs, width, percent: docs.selectExpr("doc_id", "xxhash64(text) AS key", "doc_id AS class"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(None, "a b"), (None, None), (0, "a b"), (7, "c"), (7, "c")]
+        kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+        texts, ids = kept._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].split("\n      +-")
+        assert texts.count("Exchange") == 1 and ids.count("Exchange") > 1
+        assert order(tuple(r) for r in kept.collect()) == order({*rows})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, row int")
     assert ngram_join.classes(none).count() == 0 and ngram_join.representatives(none).count() == 0 and ngram_join.representatives(none).columns == none.columns

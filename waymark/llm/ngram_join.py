@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct, fresh, hot_keys, ship, spread_join, text_bytes, window_hashes, word_hashes, written
+from .common import distinct, hot_keys, ship, spread_join, text_bytes, window_hashes, word_hashes, written
 from .components import components, forest
 
 SHINGLE = 4
@@ -563,11 +563,13 @@ def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     linked = found.filter("class is not null").groupBy("class").agg(F.min(row).alias("row")).select("row.doc_id", "row.key")
     chosen = linked.unionByName(found.filter("class is null").select("doc_id", "key").distinct()).distinct()
-    made = fresh(docs, "doc_id", "key")
-    keyed = docs.select(F.col("doc_id").cast("long").alias(made["doc_id"]), F.xxhash64("text").alias(made["key"]), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    # Keys without nulls: the join then takes the grouped rows as they are dealt, and texts are shuffled once.
+    keyed = lambda i: [F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("none")]
+    chosen = chosen.select(*keyed(F.col("doc_id")), "key")
+    rows = docs.select(*keyed(docs["doc_id"].cast("long")), F.xxhash64(docs["text"]).alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     # Equal rows are combined before the shuffle, so that many of them make no large group.
     simple = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     one = F.min_by("row", F.struct(*simple)) if simple else F.first("row")
-    single = keyed.groupBy(made["doc_id"], made["key"]).agg(one.alias("row"))
-    kept = single.join(chosen, single[made["doc_id"]].eqNullSafe(chosen["doc_id"]) & (single[made["key"]] == chosen["key"]), "left_semi")
+    single = rows.groupBy("id", "none", "key").agg(one.alias("row"))
+    kept = single.join(chosen, ["id", "none", "key"], "left_semi")
     return kept.select("row.*")
