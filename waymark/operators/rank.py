@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TrainConfig
 from ..errors import InvalidInput
-from ..gbdt.model import NUMERIC, Branch, FeatureSchema, GbdtModel, Node
-from ..gbdt.train import fit
+from ..gbdt.model import HOURS, NUMERIC, Branch, FeatureSchema, GbdtModel, Node
+from ..gbdt.train import fit_pairs
 from ..shipping import ship
 from . import features
 
@@ -61,6 +62,18 @@ def rank(found: DataFrame, model: GbdtModel) -> DataFrame:
     return both.select(*features.KEY, best["place_id"].alias("place_id"), (-best["minus"]).alias("wins"), F.transform("cands", lambda c: c["place_id"]).alias("candidates"))
 
 
+def _labelled_pairs(found: DataFrame, truth: DataFrame, config: TrainConfig) -> tuple[FeatureSchema, pa.Table]:
+    """The codes, and the pairs of the labelled clusters in order of their keys: four numbers, and one that packs blocks, hour and label."""
+    labelled = found.join(truth.select(*features.KEY), list(features.KEY), "left_semi")
+    schema = features.schema_from_places(labelled, config.max_naics)
+    chosen = features.preference_pairs(features.lists(labelled), truth)
+    blocks = len(schema.naics4) + 1
+    rest = ((schema.bucket(F.col("a.naics4")) * blocks + schema.bucket(F.col("b.naics4"))) * HOURS + F.col("hour")) * 2 + (F.col("label") > 0).cast("int")
+    names = [f"d{f}" for f in range(NUMERIC)]
+    cells = chosen.select(*features.KEY, F.col("a.cand_idx").alias("i"), F.col("b.cand_idx").alias("j"), *(features.difference(schema, f).cast("double").alias(names[f]) for f in range(NUMERIC)), rest.cast("long").alias("rest"))
+    return schema, cells.orderBy(*features.KEY, "i", "j").select(*names, "rest").toArrow()
+
+
 class GbdtRanker:
     def __init__(self, model: GbdtModel) -> None:
         self.model = model
@@ -87,17 +100,18 @@ class GbdtRanker:
         hand, so their pairs fit in memory; rows come in order of their keys, as the subsampling goes by position.
         """
         config = config or TrainConfig()
-        labelled = found.join(truth.select(*features.KEY), list(features.KEY), "left_semi")
-        schema = features.schema_from_places(labelled, config.max_naics)
-        chosen = features.preference_pairs(features.lists(labelled), truth)
-        cells = chosen.select(*features.KEY, F.col("a.cand_idx").alias("i"), F.col("b.cand_idx").alias("j"), "label", "hour", *(features.difference(schema, f).alias(f"d{f}") for f in range(NUMERIC)), schema.bucket(F.col("a.naics4")).alias("x"), schema.bucket(F.col("b.naics4")).alias("y"))
-        rows = cells.orderBy(*features.KEY, "i", "j").toPandas()
-        if not len(rows):
+        # Codes, pairs and as a rule the truth come from the candidates: found once, in memory or on the executors' disks.
+        held = None if found.is_cached else found.persist()
+        try:
+            schema, rows = _labelled_pairs(found, truth, config)
+        finally:
+            if held is not None:
+                held.unpersist()
+        if not rows.num_rows:
             raise InvalidInput("no labelled cluster yields a pair")
-        xs = np.zeros((len(rows), schema.dim))
-        for f in range(NUMERIC):
-            xs[:, f] = rows[f"d{f}"]
-        at = np.arange(len(rows))
-        for side, sign in (("x", 1.0), ("y", -1.0)):
-            np.add.at(xs, (at, NUMERIC + rows[side].to_numpy() * 24 + rows["hour"].to_numpy()), sign)
-        return GbdtRanker(fit(schema, xs, rows["label"].to_numpy(), config))
+        packed, label = np.divmod(rows["rest"].to_numpy(), 2)
+        packed, hour = np.divmod(packed, HOURS)
+        first, second = np.divmod(packed, len(schema.naics4) + 1)
+        numbers = [rows[f"d{f}"].to_numpy() for f in range(NUMERIC)]
+        del rows, packed
+        return GbdtRanker(fit_pairs(schema, numbers, first, second, hour, label * 2.0 - 1, config))
